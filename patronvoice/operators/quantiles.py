@@ -11,12 +11,14 @@ estimated: the result is exact and independent of the partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronvoice.operators.joins import lookup_join, scalar
+from patronvoice.session import materialize
 
 STEPS = 4096  # equal parts between two powers of two
 
@@ -150,52 +152,76 @@ def quartiles_iqr(
     df: DataFrame,
     cols: Sequence[str],
     k: float = 1.5,
-    floors: dict[str, float] | None = None,
+    floors: Mapping[str, float] | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """One row per column: q1, q3, iqr and the lower (not under its floor) and upper bound."""
-    q = (
-        quantiles(df, cols, [0.25, 0.75], approx=approx)
-        .groupBy("metric")
-        .agg(
-            F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-            F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"),
-        )
-        .withColumn("iqr", F.col("q3") - F.col("q1"))
+    return _bounds(quantiles(df, cols, [0.25, 0.75], approx=approx), k, floors or {})
+
+
+def quartiles_of_counts(counts: DataFrame, k: float = 1.5, floors: Mapping[str, float] | None = None) -> DataFrame:
+    """The same from a (metric, value, n) table."""
+    return _bounds(weighted_quantiles(counts, [], [0.25, 0.75]), k, floors or {})
+
+
+def _bounds(found: DataFrame, k: float, floors: Mapping[str, float]) -> DataFrame:
+    q = found.groupBy("metric").agg(
+        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
+        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"),
     )
-    lower = F.col("q1") - k * F.col("iqr")
-    for col, floor in (floors or {}).items():
-        lower = F.when(F.col("metric") == col, F.greatest(F.lit(float(floor)), F.col("q1") - k * F.col("iqr"))).otherwise(lower)
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    fence = F.col("q1") - k * F.col("iqr")
+    lower = fence
+    for col, floor in floors.items():
+        lower = F.when(F.col("metric") == col, F.greatest(F.lit(float(floor)), fence)).otherwise(lower)
     return q.withColumns({"lower": lower, "upper": F.col("q3") + k * F.col("iqr")})
 
 
-def impute_group_median(df: DataFrame, value: str, group: str, approx: bool = False) -> DataFrame:
-    """Fill nulls with the group's median, then with the median of the filled column.
+@dataclass(frozen=True)
+class GroupMedians:
+    """What filling a column needs, small next to the rows it was counted from."""
 
-    The second median is taken from the value counts plus the number of nulls
-    filled per group, so the rows themselves are read once for both.
-    """
+    by_group: DataFrame  # (group, median)
+    overall: Column  # median of the group-filled column
+    filled: DataFrame  # (metric, value, n) of the column once filled
+
+
+def fit_group_medians(df: DataFrame, value: str, group: str) -> GroupMedians:
+    """Count (group, value) once and derive every statistic from the counts."""
+    counted = materialize(
+        df.groupBy(group, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    known = counted.where(F.col("value").isNotNull() & F.col(group).isNotNull()).withColumn("metric", F.lit(value))
+    medians = materialize(
+        weighted_quantiles(known, [group], [0.5]).select(group, F.col("quantile").alias("median"))
+    )
+    group_filled = materialize(
+        lookup_join(counted, medians, [group], salts=16)
+        .groupBy(F.lit(value).alias("metric"), F.coalesce("value", "median").alias("value"))
+        .agg(F.sum("n").alias("n"))
+    )
+    with_value = group_filled.where(F.col("value").isNotNull())
+    # one number
+    overall = F.lit(weighted_quantiles(with_value, [], [0.5]).agg(F.max("quantile")).first()[0]).cast("double")
+    filled = group_filled.withColumn("value", F.coalesce("value", overall)).where(F.col("value").isNotNull())
+    return GroupMedians(medians, overall, filled)
+
+
+def impute_group_median(
+    df: DataFrame, value: str, group: str, approx: bool = False, fitted: GroupMedians | None = None
+) -> DataFrame:
+    """Fill nulls with the group's median, then with the median of the filled column."""
     typed = df.withColumn(value, F.col(value).cast("double"))
     if approx:
         filled = lookup_join(typed, group_median(typed, value, group, True), [group], salts=16).withColumn(
             value, F.coalesce(value, "median")
         )
-        rest = scalar(global_median(filled, value, True))
-        return filled.withColumn(value, F.coalesce(F.col(value), rest["median"])).select(*df.columns)
-    counted = typed.groupBy(group, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    known = counted.where(F.col("value").isNotNull() & F.col(group).isNotNull()).withColumn("metric", F.lit(value))
-    medians = weighted_quantiles(known, [group], [0.5]).select(group, F.col("quantile").alias("median"))
-    filled_counts = (
-        lookup_join(counted, medians, [group], salts=16)
-        .select(F.lit(value).alias("metric"), F.coalesce("value", "median").alias("value"), "n")
-        .where(F.col("value").isNotNull())
-        .groupBy("metric", "value")
-        .agg(F.sum("n").alias("n"))
-    )
-    rest = scalar(weighted_quantiles(filled_counts, [], [0.5]).agg(F.max("quantile").alias("median")))
+        overall = global_median(filled, value, True).scalar()
+        return filled.withColumn(value, F.coalesce(F.col(value), overall)).select(*df.columns)
+    fitted = fitted or fit_group_medians(df, value, group)
     return (
-        lookup_join(typed, medians, [group], salts=16)
-        .withColumn(value, F.coalesce(F.col(value), F.col("median"), rest["median"]))
+        lookup_join(typed, fitted.by_group, [group], salts=16)
+        .withColumn(value, F.coalesce(F.col(value), F.col("median"), fitted.overall))
         .select(*df.columns)
     )
 
@@ -204,23 +230,30 @@ def winsorize_iqr(
     df: DataFrame,
     cols: Sequence[str],
     k: float = 1.5,
-    floors: dict[str, float] | None = None,
+    floors: Mapping[str, float] | None = None,
     integral: bool = True,
     approx: bool = False,
+    bounds: Mapping[str, tuple[float, float]] | None = None,
 ) -> DataFrame:
-    """Clip to the IQR bounds and flag what was clipped; nulls stay null with flag 0."""
+    """Clip to the IQR bounds and flag what was clipped; nulls stay null with flag 0.
+
+    ``bounds`` gives (lower, upper) per column when they are known already.
+    """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    bounds = quartiles_iqr(df, cols, k, floors, approx).agg(
-        *[F.max(F.when(F.col("metric") == c, F.struct("lower", "upper"))).alias(c) for c in cols]
-    )
-    bound = scalar(bounds)
-    out = df
+    if bounds is None:
+        found = quartiles_iqr(df, cols, k, floors, approx)
+        row = scalar(
+            found.agg(*[F.max(F.when(F.col("metric") == c, F.struct("lower", "upper"))).alias(c) for c in cols])
+        )
+        limits = {c: (row[c]["lower"], row[c]["upper"]) for c in cols}
+    else:
+        limits = {c: (F.lit(lo).cast("double"), F.lit(hi).cast("double")) for c, (lo, hi) in bounds.items()}
     flags, clipped = {}, {}
     for c in cols:
-        x, lo, hi = F.col(c).cast("double"), bound[c]["lower"], bound[c]["upper"]
+        x, (lo, hi) = F.col(c).cast("double"), limits.get(c, (F.lit(None).cast("double"),) * 2)
         flags[f"{c}_outlier"] = F.coalesce((x < lo) | (x > hi), F.lit(False)).cast("int")
         clip = F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
         clipped[c] = F.rint(clip).cast("bigint") if integral else clip
-    return out.withColumns(flags).withColumns(clipped)
+    return df.withColumns(flags).withColumns(clipped)

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronvoice.operators import cleaning as ops
 from patronvoice.operators.quality import audit_record, audit_rows, cleaning_report, union_audits, validate
-from patronvoice.operators.quantiles import impute_group_median, quartiles_iqr, winsorize_iqr
+from patronvoice.operators.quantiles import (
+    fit_group_medians,
+    impute_group_median,
+    quartiles_of_counts,
+    values_long,
+    winsorize_iqr,
+)
+from patronvoice.session import materialize
 from patronvoice.sources.readers import read_raw_listings
 from patronvoice.sources.writers import write_table
 
@@ -35,46 +43,64 @@ def clean_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def impute_cost(df: DataFrame, p: CleanParams) -> DataFrame:
-    if p.cost not in df.columns:
-        return df
-    if p.cost_group in df.columns:
-        return impute_group_median(df, p.cost, p.cost_group, p.approx)
-    everyone = df.withColumn("_all", F.lit("all"))
-    return impute_group_median(everyone, p.cost, "_all", p.approx).drop("_all")
-
-
-def finish(df: DataFrame, p: CleanParams) -> DataFrame:
+def finish(parsed: DataFrame, p: CleanParams) -> DataFrame:
     """From parsed numbers to features; the order of the steps changes results.
 
     Costs are grouped by the type as typed, before title-casing; the tier uses
-    the uncapped cost; popularity uses the capped votes.
+    the uncapped cost; popularity uses the capped votes. All statistics come
+    from counts of single columns of ``parsed``, so the full rows are read once.
     """
+    group, df, counts = p.cost_group, parsed, []
+    if p.cost in parsed.columns:
+        if group not in parsed.columns:
+            group = "_all"
+            df = df.withColumn(group, F.lit("all"))
+        if p.approx:
+            df = impute_group_median(df, p.cost, group, approx=True)
+        else:
+            fitted = fit_group_medians(df, p.cost, group)
+            df = impute_group_median(df, p.cost, group, fitted=fitted)
+            counts.append(fitted.filled.withColumn("value", F.rint("value")))
+        df = df.drop("_all").transform(ops.round_cost_and_tier)
+    capped = [c for c in p.caps if c in df.columns]
+    if p.approx:
+        df = winsorize_iqr(df, capped, p.iqr_k, p.caps, approx=True)
+    elif capped:
+        rest = [c for c in capped if c != p.cost]
+        if rest:
+            counts.append(values_long(parsed, [], rest))
+        found = quartiles_of_counts(reduce(DataFrame.unionByName, counts), p.iqr_k, p.caps)
+        # one row per capped column
+        bounds = {r["metric"]: (r["lower"], r["upper"]) for r in found.collect()}
+        df = winsorize_iqr(df, capped, bounds=bounds)
     return (
-        df.transform(impute_cost, p)
-        .transform(ops.round_cost_and_tier)
-        .transform(ops.encode_binary_columns)
+        df.transform(ops.encode_binary_columns)
         .transform(ops.clean_text_columns)
-        .transform(winsorize_iqr, list(p.caps), p.iqr_k, p.caps, True, p.approx)
         .transform(ops.parse_reviews_column, form=p.review_form)
         .transform(ops.derived_features)
     )
 
 
-def clean_listings(raw: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
-    """The whole cleaning job as one lazy plan.
+def deduplicate(raw: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
+    """Tidy names, one row per key.
 
     Copies of a whole row share their key, so the key de-duplication removes
     them too and no separate pass over all columns is needed.
     """
-    unique = ops.normalize_column_names(raw).transform(ops.keep_most_complete, params.key)
-    if params.key not in unique.columns:
-        unique = ops.drop_exact_duplicates(unique)
-    return (
-        unique.transform(ops.drop_null_identity, params.identity)
-        .transform(clean_rows)
-        .transform(finish, params)
-    )
+    named = ops.normalize_column_names(raw)
+    if params.key not in named.columns:
+        return ops.drop_exact_duplicates(named)
+    return ops.keep_most_complete(named, params.key)
+
+
+def clean_listings(raw: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
+    """The whole cleaning job.
+
+    The de-duplicated and parsed rows are written once; medians and bounds are
+    then counted on their own columns instead of repeating the shuffle.
+    """
+    parsed = deduplicate(raw, params).transform(ops.drop_null_identity, params.identity).transform(clean_rows)
+    return finish(materialize(parsed), params)
 
 
 def cleaning_audit(raw: DataFrame, cleaned: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
@@ -112,7 +138,7 @@ def cleaning_audit(raw: DataFrame, cleaned: DataFrame, params: CleanParams = Cle
             ],
         )
     )
-    unique = ops.keep_most_complete(named, params.key)
+    unique = deduplicate(raw, params)
     identified = F.lit(True)
     records = []
     for c in params.identity:
@@ -163,10 +189,6 @@ def cleaning_audit(raw: DataFrame, cleaned: DataFrame, params: CleanParams = Cle
     return union_audits(parts)
 
 
-def outlier_bounds(cleaned_uncapped: DataFrame, params: CleanParams = CleanParams()) -> DataFrame:
-    return quartiles_iqr(cleaned_uncapped, list(params.caps), params.iqr_k, params.caps, params.approx)
-
-
 def run_cleaning(
     spark: SparkSession, path: str, out_dir: str, params: CleanParams = CleanParams(), min_rows: int = 1000
 ) -> DataFrame:

@@ -23,6 +23,7 @@ from patronvoice.operators.topics import (
     topics_for_export,
 )
 from patronvoice.operators.vectors import embed_texts, reduce_dimensions
+from patronvoice.session import materialize
 from patronvoice.sources.fixed import TAXONOMY
 from patronvoice.sources.readers import read_sentiment
 from patronvoice.sources.writers import write_table
@@ -97,7 +98,7 @@ def fit_topics(
 
     ``vec_col`` names an embedding the reviews already have; otherwise texts are
     embedded here. The clustered reviews are what several tables are built from,
-    so they are checkpointed once.
+    so they are written once.
     """
     p = params
     embedded = reviews if vec_col else embed_texts(reviews, text_col, p.embed_dims, stop=p.stop)
@@ -110,7 +111,7 @@ def fit_topics(
     if p.merge_tau is not None:
         merged = merge_similar_topics(clustered, "topic_id", "reduced", p.merge_tau, seed=p.seed)
         clustered = apply_merge(clustered, merged, "topic_id")
-    clustered = clustered.checkpoint()
+    clustered = materialize(clustered)
     topics = topic_table(clustered, text_col, "reduced", p)
     dropped = ["reduced"] if vec_col else ["reduced", "embedding"]
     return label_topics(clustered.drop(*dropped), topics), topics
