@@ -40,6 +40,7 @@ from patronvoice.functions.text import (
     clean_review_text,
     derive_label,
     encode_yes_no,
+    has_min_tokens,
     highlight_matches,
     join_keywords,
     normalize_list_spacing,

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x1f \x{85}\p{Z}"
 # Inside a character class: letters, digits and underscore of any script.
 WORD = r"\p{L}\p{N}_"
+# The characters of SPACE one by one.
+_SPACE_CHARS = "".join(chr(i) for i in range(0x110000 >> 4) if chr(i).isspace())
+# A run of whitespace that is not already one plain space.
+_UNEVEN = f"(?: [{SPACE}]|[{SPACE}&&[^ ]])[{SPACE}]*"
 
 
 def strip_text(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(_SPACE_CHARS))
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+", " ")
+    return F.regexp_replace(c, _UNEVEN, " ")
 
 
 def null_tokens_to_null(c: Column, tokens: Sequence[str]) -> Column:
@@ -55,10 +59,14 @@ def unescape_newline(c: Column) -> Column:
 
 
 def clean_review_text(c: Column) -> Column:
-    """Remove links, then odd characters, then surplus whitespace, then dot runs."""
+    """Remove links, then odd characters, then surplus whitespace, then dot runs.
+
+    Runs of odd characters and whitespace end up as one space, so one pattern
+    does both; it skips the plain single spaces, which are most of them.
+    """
+    kept = f"{WORD}.,!?'-"
     text = F.regexp_replace(c, f"http[^{SPACE}]+|www[^{SPACE}]+", "")
-    text = F.regexp_replace(text, f"[^{WORD}{SPACE}.,!?'-]", " ")
-    text = collapse_spaces(text)
+    text = F.regexp_replace(text, f"[^ {kept}][^{kept}]*| [^{kept}]+", " ")
     text = F.regexp_replace(text, r"\.{2,}", ".")
     return strip_text(text)
 
@@ -74,6 +82,11 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
 
 
+def has_min_tokens(c: Column, n: int) -> Column:
+    """At least n tokens; reads no further than the n-th."""
+    return c.rlike(f"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{n - 1}}}[^{SPACE}]") if n > 0 else c.isNotNull()
+
+
 def split_keywords(c: Column, k: int = 8) -> Column:
     return F.slice(F.transform(F.split(c, ","), strip_text), 1, k)
 

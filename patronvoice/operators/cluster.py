@@ -93,19 +93,18 @@ def _replace(df: DataFrame, hooks: DataFrame, col: str) -> DataFrame:
 
 
 def _follow(hooks: DataFrame) -> DataFrame:
-    """Point every node at the end of its chain; each step doubles the distance."""
+    """Point every node at the end of its chain; each jump doubles the distance."""
     while True:
-        moved = _replace_root(hooks).checkpoint()
-        if moved.where("moved").isEmpty():
-            return moved.select("node", "root")
-        hooks = moved.select("node", "root")
+        hooks = _jump(_jump(hooks)).checkpoint()
+        # whoever still points at a hooked node has not arrived
+        on_the_way = hooks.join(hooks.select(F.col("node").alias("root")), "root", "left_semi")
+        if on_the_way.isEmpty():
+            return hooks
 
 
-def _replace_root(hooks: DataFrame) -> DataFrame:
+def _jump(hooks: DataFrame) -> DataFrame:
     target = hooks.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    return lookup_join(hooks, target, ["root"], _SALTS).select(
-        "node", F.coalesce("_to", "root").alias("root"), F.col("_to").isNotNull().alias("moved")
-    )
+    return lookup_join(hooks, target, ["root"], _SALTS).select("node", F.coalesce("_to", "root").alias("root"))
 
 
 def density_components(

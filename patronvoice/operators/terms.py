@@ -33,6 +33,24 @@ def _ngrams(words: Column, n: int) -> Column:
     return F.filter(grams, lambda g: g.isNotNull()) if n > 1 else grams
 
 
+def _all_ngrams(words: Column, ngrams: tuple[int, int]) -> Column:
+    return F.concat(*[_ngrams(words, n) for n in range(ngrams[0], ngrams[1] + 1)])
+
+
+def explode_known_terms(
+    df: DataFrame,
+    text_col: str,
+    carry: Sequence[str],
+    known: Sequence[str],
+    ngrams: tuple[int, int] = (1, 2),
+    stop: Sequence[str] = (),
+) -> DataFrame:
+    """One row per text and each of the known terms it holds; the rest never leaves its row."""
+    words = df.select(*carry, tokens(F.col(text_col), stop).alias("_words"))
+    held = F.filter(_all_ngrams(F.col("_words"), ngrams), lambda t: t.isin(list(known)))
+    return words.select(*carry, F.explode(F.array_distinct(held)).alias("term"))
+
+
 def explode_terms(
     df: DataFrame, text_col: str, carry: Sequence[str], ngrams: tuple[int, int] = (1, 2), stop: Sequence[str] = ()
 ) -> DataFrame:
@@ -41,12 +59,15 @@ def explode_terms(
     The flag comes from sorting the terms inside the row, so counting documents
     needs no shuffle by document.
     """
-    lo, hi = ngrams
     words = df.select(*carry, tokens(F.col(text_col), stop).alias("_words"))
-    terms = words.select(*carry, F.array_sort(F.concat(*[_ngrams(F.col("_words"), n) for n in range(lo, hi + 1)])).alias("_terms"))
-    shifted = F.concat(F.array(F.lit("")), F.col("_terms"))
-    flagged = F.zip_with("_terms", shifted, lambda t, before: F.struct(t.alias("term"), (t != before).cast("int").alias("first")))
-    return terms.select(*carry, F.inline(F.slice(flagged, 1, F.size("_terms"))))
+    terms = words.select(*carry, F.sort_array(_all_ngrams(F.col("_words"), ngrams)).alias("_terms"))
+    # next to each term its predecessor; the predecessors are one longer
+    pairs = F.arrays_zip(F.col("_terms").alias("term"), F.concat(F.array(F.lit("")), F.col("_terms")).alias("before"))
+    return (
+        terms.select(*carry, F.inline(pairs).alias("term", "before"))
+        .where(F.col("term").isNotNull())
+        .select(*carry, "term", (F.col("term") != F.col("before")).cast("int").alias("first"))
+    )
 
 
 def term_counts(

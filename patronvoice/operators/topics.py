@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from patronvoice.functions import derive_label, join_keywords, round_half_even
 from patronvoice.operators.joins import lookup_join
-from patronvoice.operators.terms import explode_terms
+from patronvoice.operators.terms import explode_known_terms, explode_terms
 from patronvoice.operators.vectors import cosine, mean_vectors
+from patronvoice.session import materialize
 from patronvoice.sources.fixed import TAXONOMY
 
 NOISE = -1
 NOISE_LABEL = "Uncategorised / noise"
+MAX_LITERAL_TERMS = 20_000
 
 
 def not_noise(df: DataFrame, id_col: str = "topic_id", noise: int = NOISE) -> DataFrame:
@@ -68,14 +70,21 @@ def rerank_keywords(
     """(topic, term, similarity, rank): candidates by the cosine of term and topic vectors.
 
     A term's vector is the mean over the texts that hold it, a topic's the mean
-    over its texts.
+    over its texts. Up to ``MAX_LITERAL_TERMS`` candidate terms are looked for
+    inside each row; with more of them the terms are exploded and joined.
     """
+    candidates = materialize(candidates.select(topic_col, "term"))
     wanted = candidates.select("term").distinct()
-    holding = explode_terms(docs, text_col, [vec_col], ngrams, stop).where("first = 1").join(wanted, "term", "left_semi")
+    known = [r["term"] for r in wanted.limit(MAX_LITERAL_TERMS + 1).collect()]
+    if len(known) <= MAX_LITERAL_TERMS:
+        holding = explode_known_terms(docs, text_col, [vec_col], sorted(known), ngrams, stop)
+    else:
+        every = explode_terms(docs, text_col, [vec_col], ngrams, stop).where("first = 1")
+        holding = every.join(wanted, "term", "left_semi")
     term_vectors = mean_vectors(holding, ["term"], vec_col, "term_vector").drop("n")
     topic_vectors = mean_vectors(docs, [topic_col], vec_col, "topic_vector").drop("n")
     compared = lookup_join(
-        lookup_join(candidates.select(topic_col, "term"), term_vectors, ["term"], salts=4), topic_vectors, [topic_col], salts=4
+        lookup_join(candidates, term_vectors, ["term"], salts=4), topic_vectors, [topic_col], salts=4
     ).withColumn("similarity", cosine(F.col("term_vector"), F.col("topic_vector")))
     w = Window.partitionBy(topic_col).orderBy(F.desc_nulls_last("similarity"), "term")
     ranked = compared.select(topic_col, "term", "similarity").withColumn("rank", F.row_number().over(w))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronvoice.functions import clean_review_text, token_count
+from patronvoice.functions import clean_review_text, has_min_tokens
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators.cluster import apply_merge, cluster_density, cluster_kmeans, merge_similar_topics
 from patronvoice.operators.joins import lookup_join
@@ -53,7 +53,7 @@ class TopicParams:
 
 
 def min_token_filter(df: DataFrame, col: str, n: int = 5) -> DataFrame:
-    return df.where(token_count(F.col(col)) >= n)
+    return df.where(has_min_tokens(F.col(col), n))
 
 
 def negative_entity_reviews(
@@ -77,9 +77,11 @@ def negative_entity_reviews(
         rows = entities
     else:
         raise ValueError(f"level must be entity or review, not {level!r}")
-    cleaned = rows.withColumn("review_text", clean_review_text(F.col("review_text"))).transform(
-        min_token_filter, "review_text", min_tokens
-    )
+    others = [c for c in rows.columns if c != "review_text"]
+    # exploded from an array of one: a filter on the cleaned text cannot slip below
+    # and make Spark clean every text twice
+    once = F.explode(F.array(clean_review_text(F.col("review_text")))).alias("review_text")
+    cleaned = rows.select(*others, once).transform(min_token_filter, "review_text", min_tokens)
     if flag not in cleaned.columns:
         return cleaned
     negative = F.col(flag) == "negative"
@@ -97,24 +99,26 @@ def fit_topics(
     """(reviews with topic id and label, topic table).
 
     ``vec_col`` names an embedding the reviews already have; otherwise texts are
-    embedded here. The clustered reviews are what several tables are built from,
-    so they are written once.
+    embedded here. Vectors, clustered reviews and topics each feed several later
+    steps, so each is written once.
     """
     p = params
-    embedded = reviews if vec_col else embed_texts(reviews, text_col, p.embed_dims, stop=p.stop)
-    vec = vec_col or "embedding"
-    reduced = reduce_dimensions(embedded, vec, p.dims)
+    if vec_col:
+        vectors = reviews.select(id_col, F.col(vec_col).alias("embedding"))
+    else:
+        embedded = embed_texts(reviews.select(id_col, text_col), text_col, p.embed_dims, stop=p.stop)
+        vectors = materialize(embedded.select(id_col, "embedding"))
+    reduced = reduce_dimensions(vectors, "embedding", p.dims).drop("embedding")
     if p.method == "kmeans":
-        clustered = cluster_kmeans(reduced, "reduced", p.k, p.seed)
+        clusters = cluster_kmeans(reduced, "reduced", p.k, p.seed)
     else:
-        clustered = cluster_density(reduced, id_col, "reduced", p.eps, p.min_samples, p.min_size, p.tables, p.seed)
+        clusters = cluster_density(reduced, id_col, "reduced", p.eps, p.min_samples, p.min_size, p.tables, p.seed)
     if p.merge_tau is not None:
-        merged = merge_similar_topics(clustered, "topic_id", "reduced", p.merge_tau, seed=p.seed)
-        clustered = apply_merge(clustered, merged, "topic_id")
-    clustered = materialize(clustered)
-    topics = topic_table(clustered, text_col, "reduced", p)
-    dropped = ["reduced"] if vec_col else ["reduced", "embedding"]
-    return label_topics(clustered.drop(*dropped), topics), topics
+        merged = merge_similar_topics(clusters, "topic_id", "reduced", p.merge_tau, seed=p.seed)
+        clusters = apply_merge(clusters, merged, "topic_id")
+    clustered = materialize(lookup_join(reviews, clusters, [id_col]))
+    topics = materialize(topic_table(clustered, text_col, "reduced", p))
+    return label_topics(clustered.drop("reduced"), topics), topics
 
 
 def topic_table(

@@ -85,6 +85,16 @@ def ensure_array_column(df: DataFrame, col: str) -> DataFrame:
     return df if col in df.columns else df.withColumn(col, F.array().cast("array<string>"))
 
 
+def spread_small_input(df: DataFrame, *by: str) -> DataFrame:
+    """Give every core rows of a table that arrives in fewer tasks than there are cores.
+
+    Only for input that feeds costly work per row. A large table has more splits
+    than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 def _restore(df: DataFrame, numeric_cols: Sequence[str], list_col: str) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     text = [c for c in numeric_cols if isinstance(types.get(c), T.StringType)]

@@ -13,6 +13,7 @@ from patronvoice.operators.sentiment import add_sentiment
 from patronvoice.operators.topics import map_topics_to_entities
 from patronvoice.plans.sentiment import entities_with_sentiment
 from patronvoice.sources.fixed import DEMO_TOPICS
+from patronvoice.sources.readers import spread_small_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -198,7 +199,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return spread_small_input(self.read("documents"), "doc_id")
 
     @cached_property
     def raw(self) -> DataFrame:

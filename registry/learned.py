@@ -10,10 +10,11 @@ from patronvoice.operators import topics as topic_ops
 from patronvoice.operators import vectors
 from patronvoice.operators.scorers import score_sentiment, train_scorer
 from patronvoice.plans.topics import TopicParams, complaint_topics, fit_topics, topic_map_2d
+from patronvoice.session import materialize
 from registry.base import r6, register
 from registry.topics import _docs_entities
 
-_PARAMS = TopicParams(dims=5, eps=0.9, min_samples=3, min_size=8, embed_dims=64, ngrams=(1, 1), rerank=False)
+_PARAMS = TopicParams(dims=5, eps=0.15, min_samples=3, min_size=8, embed_dims=64, ngrams=(1, 1), rerank=False)
 
 
 @register("score_sentiment")
@@ -78,7 +79,7 @@ def _(t):
 
 @register("rerank_keywords")
 def _(t):
-    docs = vectors.embed_texts(t.documents.select("doc_id", "lang", "text"), "text", dims=64)
+    docs = materialize(vectors.embed_texts(t.documents.select("doc_id", "lang", "text"), "text", dims=64))
     weights = terms_ops.class_tfidf(terms_ops.term_counts(docs, "text", "lang", (1, 1)), "lang")
     candidates = terms_ops.top_terms(weights, "lang", 30)
     best = topic_ops.rerank_keywords(candidates, docs, "text", "embedding", "lang", 10, (1, 1))
