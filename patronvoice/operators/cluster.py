@@ -50,7 +50,7 @@ def _cube_keys(eps: float, tables: int, seed: int):
             for d in range(dims):
                 moved += x[:, d : d + 1] * turn[d]
             cells = np.floor(moved / side).astype(np.int64).astype(np.uint64)
-            h = np.full(len(x), t + 1, dtype=np.uint64)
+            h = np.full(len(x), rng.integers(1 << 63), dtype=np.uint64)  # keeps the tables apart
             for d in range(dims):
                 h = (h ^ cells[:, d]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
