@@ -26,6 +26,7 @@ from patronvoice.functions import (
     strip_text,
     title_case_clean,
 )
+from patronvoice.operators.joins import compact_keys
 
 # Column names of the raw listings and what fills their gaps.
 RENAMES = {
@@ -99,7 +100,8 @@ def dedup_by_key(df: DataFrame, key: str = "url") -> DataFrame:
 
 def distinct_dup_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row: how many rows repeat an earlier combination of ``cols``."""
-    counts = df.groupBy(*(cols or df.columns)).agg(F.count(F.lit(1)).alias("n"))
+    cols = list(cols or df.columns)
+    counts = compact_keys(df, cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 

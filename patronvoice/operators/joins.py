@@ -11,14 +11,29 @@ from pyspark.sql import types as T
 _NULL_SPREAD = 64
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of the flat columns: stable when a task is run again."""
+def row_hash(df: DataFrame, width: int = 4) -> Column:
+    """A hash of the first flat columns: stable when a task is run again.
+
+    Tables lead with what identifies a row. Taking only a few columns keeps the
+    rest prunable, in particular long texts further right.
+    """
     flat = [
         F.col(f"`{f.name}`")
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.UserDefinedType, T.VariantType))
     ]
-    return F.xxhash64(*flat)
+    return F.xxhash64(*flat[:width])
+
+
+def compact(c: Column) -> Column:
+    """A long text as its SHA-256, for grouping by equality without moving the text."""
+    return F.when(F.length(c) > 64, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+
+
+def compact_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns with their texts compacted."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[compact(F.col(f"`{c}`")).alias(c) if isinstance(types[c], T.StringType) else F.col(f"`{c}`") for c in cols])
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-AUDIT_SCHEMA = "step string, column string, action string, rows_affected bigint, detail string"
+from patronvoice.operators.joins import compact
 
 
 def audit_record(step: str, column: str, action: str, rows: Column, detail: Column | str = "") -> Column:
@@ -38,16 +38,16 @@ def null_summary(df: DataFrame) -> DataFrame:
 
 def _text_form(field: T.StructField) -> Column:
     c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(c)
-    return c.cast("string")
+    nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+    return compact(F.to_json(c) if nested else c.cast("string"))
 
 
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(column, dtype, null_pct, distinct_values) per column.
 
-    The exact distinct count compares whole values: each (column, value) pair is
-    folded before and after the shuffle, so no task holds a column's value set.
+    The exact distinct count compares whole values, long ones by their SHA-256:
+    each (column, value) pair is folded before and after the shuffle, so no task
+    holds a column's value set.
     ``approx`` needs one pass and a fixed-size sketch per column.
     """
     fields = df.schema.fields

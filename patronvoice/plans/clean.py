@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronvoice.operators import cleaning as ops
+from patronvoice.operators.joins import compact_keys
 from patronvoice.operators.quality import audit_record, audit_rows, cleaning_report, union_audits, validate
 from patronvoice.operators.quantiles import (
     fit_group_medians,
@@ -122,7 +123,7 @@ def cleaning_audit(raw: DataFrame, cleaned: DataFrame, params: CleanParams = Cle
         )
     ]
     # each row once, with its number of copies; then each key once
-    copies = named.groupBy(*named.columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = compact_keys(named, named.columns).groupBy(*named.columns).agg(F.count(F.lit(1)).alias("_n"))
     if params.key in have:
         per_key = copies.groupBy(params.key).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_d"))
     else:

@@ -85,6 +85,11 @@ DOCS = {
     "topic_id": "CAST(d.doc_id % 9 - 1 AS BIGINT)",
 }
 
+# every line of a document is a review of that document
+LINE_LABEL = "CASE WHEN length(review_text) % 3 = 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END"
+LINE_SCORE = "CAST(60 + length(review_text) % 40 AS DOUBLE) / 100e0"
+SPACES = "\\t-\\r\\x1c-\\x1f \\x{85}\\p{Z}"  # inside a character class
+
 LABEL_OF_TOPIC = (
     "CASE topic_id WHEN -1 THEN 'Uncategorised / noise' "
     + " ".join(f"WHEN {i} THEN '{t[0]}'" for i, t in enumerate(DEMO_TOPICS))
@@ -142,6 +147,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ent": ((), f"SELECT {_list(ENTITIES, '')} FROM part"),
     "lines": ((), f"SELECT {_list(LINES, '')} FROM lineitem"),
     "docs": ((), f"SELECT {_list(DOCS, '')} FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "doc_lines": (
+        (),
+        "SELECT source AS name, doc_id AS url, CAST(i - 1 AS INT) AS review_pos, l[i] AS review_text FROM "
+        "(SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)) "
+        f"WHERE NOT regexp_full_match(l[i], '[{SPACES}]*')",
+    ),
     "lines_scored": (("lines",), _scored("lines")),
     "docs_scored": (("docs",), _scored("docs")),
     "agg": (("lines_scored",), _aggregate("lines_scored")),
@@ -218,6 +229,13 @@ class Tables:
         joined = self.documents.alias("d").join(self.read("labels").alias("l"), F.expr("d.doc_id = l.doc_id"), "left")
         return joined.selectExpr(*[f"{e} AS {n}" for n, e in DOCS.items()])
 
+    @cached_property
+    def nested(self) -> DataFrame:
+        """Documents as entities whose reviews are their lines."""
+        return self.documents.select(
+            F.col("doc_id").alias("url"), F.col("source").alias("name"), F.split("text", "\n").alias("review_texts")
+        )
+
     @cached_property
     def lines_scored(self) -> DataFrame:
         return add_sentiment(self.lines)

@@ -300,19 +300,9 @@ def _(t):
     return t.read("events").select("event_id", fn.review_texts(reviews)[0].alias("text"))
 
 
-@register(
-    "explode_reviews",
-    "SELECT role AS name, conv_id AS url, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1 AS INT) AS review_pos, text AS review_text "
-    "FROM conversations WHERE trim(text) <> ''",
-)
+@register("explode_reviews", "SELECT * FROM doc_lines", "doc_lines")
 def _(t):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    nested = (
-        t.read("conversations")
-        .groupBy(F.col("conv_id").alias("url"), F.col("role").alias("name"))
-        .agg(F.transform(turns, lambda r: r["text"]).alias("review_texts"))
-    )
-    return explode_reviews(nested)
+    return explode_reviews(t.nested)
 
 
 @register("non_blank_text", "SELECT page_id, html FROM pages WHERE trim(html) <> '' AND lower(trim(html)) <> 'nan'")

@@ -12,7 +12,7 @@ from patronvoice.operators.scorers import score_sentiment, train_scorer
 from patronvoice.plans.topics import TopicParams, complaint_topics, fit_topics, topic_map_2d
 from patronvoice.session import materialize
 from registry.base import r6, register
-from registry.topics import _docs_entities
+from registry.topics import doc_entities
 
 _PARAMS = TopicParams(dims=5, eps=0.15, min_samples=3, min_size=8, embed_dims=64, ngrams=(1, 1), rerank=False)
 
@@ -108,5 +108,5 @@ def _(t):
 
 @register("complaint_topics")
 def _(t):
-    entities, _, _ = complaint_topics(_docs_entities(t), _PARAMS)
+    entities, _, _ = complaint_topics(doc_entities(t), _PARAMS)
     return entities.select("url", "dominant_complaint", "complaint_diversity", "complaint_review_count")

@@ -9,7 +9,7 @@ from patronvoice.operators import breakdowns as b
 from patronvoice.operators import sentiment as ops
 from patronvoice.operators.scorers import LabelScorer, score_sentiment
 from patronvoice.plans.sentiment import review_sentiment
-from registry.base import CTES, r6, register, rnd
+from registry.base import CTES, LINE_LABEL, LINE_SCORE, _aggregate, _scored, r6, register, rnd
 
 
 def _pick(*cols: str) -> str:
@@ -82,40 +82,20 @@ def _(t):
     return filled.select(*_AGG_COLS, r6("sentiment_volatility").alias("sentiment_volatility"))
 
 
-CTES["nested"] = (
-    (),
-    "SELECT conv_id AS url, text AS review_text, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS raw_label, "
-    "CAST(60 + length(text) % 40 AS DOUBLE) / 100e0 AS score FROM conversations WHERE trim(text) <> ''",
-)
-CTES["nested_scored"] = (
-    ("nested",),
-    "SELECT *, CASE sentiment WHEN 'positive' THEN score WHEN 'negative' THEN -score ELSE 0e0 END AS signed_score FROM ("
-    "SELECT *, CASE WHEN score < 0.75e0 THEN 'neutral' WHEN raw_label = 'POSITIVE' THEN 'positive' ELSE 'negative' END AS sentiment FROM nested)",
-)
-CTES["conv_agg"] = (
-    ("nested_scored",),
-    "SELECT url, count(*) AS total_reviews, " + rnd("avg(signed_score)", 4) + " AS avg_signed_score, "
-    + rnd("coalesce(stddev_samp(signed_score), 0e0)", 6) + " AS sentiment_volatility FROM nested_scored GROUP BY 1",
-)
+CTES["line_labels"] = (("doc_lines",), f"SELECT *, {LINE_LABEL} AS raw_label, {LINE_SCORE} AS score FROM doc_lines")
+CTES["line_labels_scored"] = (("line_labels",), _scored("line_labels"))
+CTES["line_agg"] = (("line_labels_scored",), _aggregate("line_labels_scored"))
 
 
-@register("review_sentiment", "SELECT * FROM conv_agg", "conv_agg")
+@register("review_sentiment", _pick("d.doc_id AS url", "coalesce(total_reviews, 0) AS total_reviews", "coalesce(dominant_sentiment, 'neutral') AS dominant_sentiment", "coalesce(avg_signed_score, 0e0) AS avg_signed_score") + " FROM documents d LEFT JOIN line_agg a ON d.doc_id = a.url", "line_agg")
 def _(t):
     """Nested reviews all the way: explode, score, aggregate, attach, fill."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text", "conv_id")))
-    entities = (
-        t.read("conversations")
-        .groupBy(F.col("conv_id").alias("url"))
-        .agg(F.transform(turns, lambda r: F.concat_ws("#", (r["conv_id"] + r["turn"]) % 3, r["text"])).alias("review_texts"))
-    )
 
     def scorer(df, text_col):
-        text = F.substring(text_col, 3, 1 << 30)
-        label = F.when(F.substring(text_col, 1, 1) == "0", "NEGATIVE").otherwise("POSITIVE")
-        return df.withColumns({"raw_label": label, "score": (60 + F.length(text) % 40).cast("double") / F.lit(100.0)})
+        return df.withColumns({"raw_label": F.expr(LINE_LABEL), "score": F.expr(LINE_SCORE)})
 
-    got, _ = review_sentiment(entities, scorer)
-    return got.select("url", "total_reviews", "avg_signed_score", r6("sentiment_volatility").alias("sentiment_volatility"))
+    got, _ = review_sentiment(t.nested, scorer)
+    return got.select("url", "total_reviews", "dominant_sentiment", "avg_signed_score")
 
 
 @register("score_labelled_reviews", "SELECT review_id, raw_label, " + rnd("score", 4) + " AS confidence, sentiment, " + rnd("signed_score", 4) + " AS signed_score FROM docs_scored", "docs_scored")

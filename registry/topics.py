@@ -11,21 +11,20 @@ from patronvoice.operators import terms as terms_ops
 from patronvoice.operators import topics as ops
 from patronvoice.plans.topics import min_token_filter, negative_entity_reviews
 from patronvoice.sources.fixed import TAXONOMY
-from registry.base import CTES, r6, register, rnd
+from registry.base import CTES, SPACES, r6, register, rnd
 
-_SPACE = "\\t-\\r\\x1c-\\x1f \\x{85}\\p{Z}"
 
 
 def _cleaned(c: str) -> str:
-    text = f"regexp_replace({c}, 'http[^{_SPACE}]+|www[^{_SPACE}]+', '', 'g')"
-    text = f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}_{_SPACE}.,!?''-]', ' ', 'g')"
-    text = f"regexp_replace({text}, '[{_SPACE}]+', ' ', 'g')"
+    text = f"regexp_replace({c}, 'http[^{SPACES}]+|www[^{SPACES}]+', '', 'g')"
+    text = f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}_{SPACES}.,!?''-]', ' ', 'g')"
+    text = f"regexp_replace({text}, '[{SPACES}]+', ' ', 'g')"
     text = f"regexp_replace({text}, '\\.{{2,}}', '.', 'g')"
-    return f"regexp_replace({text}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
+    return f"regexp_replace({text}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
 
 
 CTES["clean_docs"] = ((), f"SELECT doc_id, lang, source, {_cleaned('text')} AS text FROM documents")
-_TOKENS = f"len(regexp_extract_all(text, '[^{_SPACE}]+'))"
+_TOKENS = f"len(regexp_extract_all(text, '[^{SPACES}]+'))"
 
 
 @register("clean_review_text", "SELECT doc_id, text FROM clean_docs", "clean_docs")
@@ -38,25 +37,22 @@ def _(t):
     return min_token_filter(t.documents.select("doc_id", "text"), "text", 50)
 
 
-def _docs_entities(t):
-    """Documents nested under the entity they review, with the entity's sentiment."""
-    from patronvoice.operators.sentiment import entity_sentiment
-
-    texts = F.array_sort(F.collect_list(F.struct("review_id", "review_text")))
-    nested = t.docs.groupBy("url").agg(F.transform(texts, lambda r: r["review_text"]).alias("review_texts"))
-    return nested.join(entity_sentiment(t.docs_scored).select("url", "dominant_sentiment"), "url")
+def doc_entities(t):
+    """Documents with their lines as reviews and their own class as the dominant one."""
+    own = t.docs_scored.select(F.col("review_id").alias("url"), F.col("sentiment").alias("dominant_sentiment"))
+    return t.nested.join(own, "url")
 
 
 @register(
     "negative_entity_reviews",
-    "WITH c AS (SELECT d.url, a.dominant_sentiment, " + _cleaned("d.review_text") + " AS text FROM docs d JOIN docs_agg a ON d.url = a.url), "
+    "WITH c AS (SELECT d.url, d.review_pos, s.sentiment, " + _cleaned("d.review_text") + " AS text FROM doc_lines d JOIN docs_scored s ON d.url = s.review_id), "
     f"k AS (SELECT * FROM c WHERE {_TOKENS} >= 5) "
-    "SELECT url, text AS review_text FROM k WHERE dominant_sentiment = 'negative' OR NOT EXISTS (SELECT 1 FROM k WHERE dominant_sentiment = 'negative')",
-    "docs",
-    "docs_agg",
+    "SELECT url, review_pos, text AS review_text FROM k WHERE sentiment = 'negative' OR NOT EXISTS (SELECT 1 FROM k WHERE sentiment = 'negative')",
+    "doc_lines",
+    "docs_scored",
 )
 def _(t):
-    return negative_entity_reviews(_docs_entities(t)).select("url", "review_text")
+    return negative_entity_reviews(doc_entities(t)).select("url", "review_pos", "review_text")
 
 
 @register(
