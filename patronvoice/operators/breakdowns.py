@@ -15,7 +15,6 @@ from patronvoice.functions import (
     round_half_even,
     split_keywords,
 )
-from patronvoice.operators.sentiment import CLASSES
 from patronvoice.operators.topics import not_noise
 
 SHOWN_ORDER = ("positive", "neutral", "negative")
@@ -334,7 +333,3 @@ def topic_listing(topics: DataFrame, k: int = 5) -> DataFrame:
     return not_noise(topics).select(
         "topic_id", "topic_label", F.array_join(F.slice("keywords", 1, k), ", ").alias("keywords"), "frequency", "pct"
     )
-
-
-def class_totals(reviews: DataFrame) -> DataFrame:
-    return reviews.agg(*[F.count_if(F.col("sentiment") == c).alias(c) for c in CLASSES])

@@ -15,8 +15,6 @@ one sum, and copies of a point are folded into one node.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -208,7 +206,3 @@ def apply_merge(df: DataFrame, merged: DataFrame, topic_col: str) -> DataFrame:
         .withColumn(topic_col, F.coalesce("merged", topic_col))
         .drop("merged")
     )
-
-
-def topic_sizes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("frequency"))

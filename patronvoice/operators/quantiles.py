@@ -21,6 +21,7 @@ from patronvoice.operators.joins import lookup_join, scalar
 from patronvoice.session import materialize
 
 STEPS = 4096  # equal parts between two powers of two
+BROADCAST_ROWS = 100_000
 
 
 def histogram_part(value: Column) -> Column:
@@ -75,7 +76,13 @@ def weighted_quantiles(counts: DataFrame, groups: Sequence[str], probs: Sequence
         .select(*keys, "part", "total", (F.col("upto") - F.col("in_part")).alias("before"), "ranks")
     )
     if groups:
-        opened = counts.join(picked, [*keys, "part"])
+        # written, so that its size is known; a few groups then need no shuffle of the values
+        picked = materialize(picked)
+        if picked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            opened = counts.join(F.broadcast(picked), [*keys, "part"])
+        else:
+            folded = counts.groupBy(*keys, "part", "value").agg(F.sum("n").alias("n"))
+            opened = folded.join(picked, [*keys, "part"])
     else:
         # two parts per column and probability: small enough to test each row against
         wanted = picked.agg(F.collect_list(F.struct("metric", "part", "total", "before", "ranks"))).scalar()
@@ -118,10 +125,7 @@ def quantiles(
     for group in groups:
         df = df.where(F.col(group).isNotNull())
     if not approx:
-        counts = values_long(df, groups, cols)
-        if groups:
-            counts = counts.groupBy(*groups, "metric", "value").agg(F.sum("n").alias("n"))
-        return weighted_quantiles(counts, groups, probs)
+        return weighted_quantiles(values_long(df, groups, cols), groups, probs)
     grid = F.array(*[F.lit(float(p)) for p in probs])
     aggs = [
         F.percentile_approx(F.col(c).cast("double"), list(map(float, probs)), accuracy).alias(c) for c in cols

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronvoice.functions import coerce_numeric, null_tokens_to_null, parse_reviews
+from patronvoice.functions import coerce_numeric, null_tokens_to_null
 
 # Columns of the raw listings file and the texts that mean null.
 RAW_COLUMNS = (
@@ -166,7 +166,3 @@ def read_serving_tables(
     if review_cap is not None:
         reviews = reviews.orderBy(*reviews.columns).limit(review_cap)
     return entities, topics, reviews
-
-
-def parse_review_literals(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, parse_reviews(F.col(col)))

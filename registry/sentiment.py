@@ -31,9 +31,13 @@ _AGG_COLS = (
 _VOLATILITY = rnd("sentiment_volatility", 6) + " AS sentiment_volatility"
 
 
-@register("truncate_for_model", "SELECT doc_id, substring(trim(replace(text, chr(10), ' '), concat(' ', chr(9), chr(13))), 1, 512) AS text FROM documents")
+_FLAT = "trim(replace(text, chr(10), ' '), concat(' ', chr(9), chr(13)))"
+
+
+@register("truncate_for_model", f"SELECT doc_id, {_FLAT} AS whole_text, substring({_FLAT}, 1, 512) AS model_text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", fn.truncate_for_model(F.col("text")).alias("text"))
+    text = F.col("text")
+    return t.documents.select("doc_id", fn.truncate_for_model(text, None).alias("whole_text"), fn.truncate_for_model(text).alias("model_text"))
 
 
 @register("neutral_threshold", "SELECT review_id, raw_label, score, sentiment FROM docs_scored", "docs_scored")

@@ -177,11 +177,11 @@ def _(t):
 
 @register(
     "label_topics",
-    "SELECT topic_label, count(*) AS n FROM (SELECT coalesce(CASE WHEN topic_id <> 5 THEN topic_label END, 'unknown') AS topic_label FROM lines_topics) GROUP BY 1",
+    "SELECT CASE WHEN topic_id = -1 THEN 'unknown' ELSE topic_label END AS topic_label, count(*) AS n FROM lines_topics GROUP BY 1",
     "lines_topics",
 )
 def _(t):
-    known = t.topic_table.where("topic_id <> 5")
+    known = ops.not_noise(t.topic_table)
     return ops.label_topics(t.lines, known).groupBy("topic_label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -35,7 +35,9 @@ def test_matches_linear_interpolation(spark, values):
     assert got == pytest.approx({p: float(np.quantile(values, p)) for p in probs}, rel=1e-12, abs=1e-300)
 
 
-def test_groups_skew_and_nulls(spark):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_groups_skew_and_nulls(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr("patronvoice.operators.quantiles.BROADCAST_ROWS", broadcast_rows)
     rng = np.random.default_rng(3)
     groups = ["hot"] * 2000 + [f"g{i % 50}" for i in range(1000)] + [None] * 10
     values = [None if i % 17 == 0 else float(x) for i, x in enumerate(rng.gamma(2, 100, len(groups)))]
