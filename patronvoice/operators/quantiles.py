@@ -5,8 +5,9 @@ memory of one task. Here a log-linear histogram is counted first: its parts are
 fixed function of the value (binary exponent, then equal steps up to the next
 power of two), so rows combine before the shuffle and no range has to be known.
 The counts tell which parts hold the wanted ranks; only the values of those
-parts, a sliver of the data, are counted and ordered. Ranks are counted, never
-estimated: the result is exact and independent of the partitioning.
+parts, a sliver of the data, are counted and ordered; a part that is still too
+large is split again. Ranks are counted, never estimated: the result is exact and
+independent of the partitioning.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from patronvoice.operators.joins import lookup_join, scalar
 from patronvoice.session import materialize
 
 STEPS = 4096  # equal parts between two powers of two
+OPEN_ROWS = 20_000_000  # a part with more rows is split again before it is ordered
 BROADCAST_ROWS = 100_000
 
 
@@ -51,54 +53,29 @@ def weighted_quantiles(counts: DataFrame, groups: Sequence[str], probs: Sequence
     """Quantiles of a (groups, metric, value, n) table.
 
     Returns (groups, metric, prob, quantile) with linear interpolation between
-    the two neighbouring values.
+    the two neighbouring values. The parts holding the wanted ranks are found at
+    once and written; reading the values in them is left to the caller's query.
     """
     keys = [*groups, "metric"]
     counts = counts.withColumn("part", histogram_part(F.col("value")))
-    histogram = counts.groupBy(*keys, "part").agg(F.sum("n").alias("in_part"))
-    # the window sees one row per non-empty part
-    by_key = Window.partitionBy(*keys)
-    ranks = F.flatten(
-        F.array(*[F.array(F.floor(p * (F.col("total") - 1)), F.ceil(p * (F.col("total") - 1))) for p in map(F.lit, map(float, probs))])
-    )
-    hit = F.filter(
-        F.array_distinct(ranks), lambda r: (r >= F.col("upto") - F.col("in_part")) & (r < F.col("upto"))
-    )
-    picked = (
-        histogram.withColumns(
-            {
-                "upto": F.sum("in_part").over(by_key.orderBy("part")),
-                "total": F.sum("in_part").over(by_key),
-            }
-        )
-        .withColumn("ranks", hit)
-        .where(F.size("ranks") > 0)
-        .select(*keys, "part", "total", (F.col("upto") - F.col("in_part")).alias("before"), "ranks")
-    )
-    if groups:
-        # written, so that its size is known; a few groups then need no shuffle of the values
-        picked = materialize(picked)
-        if picked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            opened = counts.join(F.broadcast(picked), [*keys, "part"])
-        else:
-            folded = counts.groupBy(*keys, "part", "value").agg(F.sum("n").alias("n"))
-            opened = folded.join(picked, [*keys, "part"])
-    else:
-        # two parts per column and probability: small enough to test each row against
-        wanted = picked.agg(F.collect_list(F.struct("metric", "part", "total", "before", "ranks"))).scalar()
-        match = F.filter("wanted", lambda w: (w["metric"] == F.col("metric")) & (w["part"] == F.col("part")))
-        opened = (
-            counts.withColumn("wanted", wanted)
-            .select("value", "n", F.inline(match))
-            .select("metric", "value", "n", "part", "total", "before", "ranks")
-        )
-    sliver = opened.groupBy(*keys, "part", "value").agg(
-        F.sum("n").alias("n"), F.first("total").alias("total"), F.first("before").alias("before"), F.first("ranks").alias("ranks")
+    picked = materialize(_first_parts(counts, keys, probs))
+    while True:
+        size = picked.agg(
+            F.count(F.lit(1)).alias("parts"), F.max(F.when(F.col("lo") < F.col("hi"), F.col("in_part"))).alias("largest")
+        ).first()
+        if (size["largest"] or 0) <= OPEN_ROWS:
+            break
+        picked = materialize(_split_parts(_open(counts, picked, keys, size["parts"]), keys))
+    sliver = (
+        _open(counts, picked, keys, size["parts"])
+        .groupBy(*keys, "lo", "value")
+        .agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("total", "before", "ranks")])
     )
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "part").orderBy("value"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(*keys, "lo").orderBy("value"))
+    mine = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
     at_rank = (
         sliver.withColumn("upto", upto)
-        .select(*keys, "total", "value", F.explode(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("rank"))
+        .select(*keys, "total", "value", F.explode(mine).alias("rank"))
         .groupBy(*keys)
         .agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
     )
@@ -109,6 +86,54 @@ def weighted_quantiles(counts: DataFrame, groups: Sequence[str], probs: Sequence
     )
 
 
+def _first_parts(counts: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """The histogram parts that hold a wanted rank; the windows see one row per part."""
+    histogram = counts.groupBy(*keys, "part").agg(
+        F.sum("n").alias("in_part"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    by_key = Window.partitionBy(*keys)
+    ranks = [f(F.lit(float(p)) * (F.col("total") - 1)) for p in probs for f in (F.floor, F.ceil)]
+    return _holding(
+        histogram.withColumns(
+            {"upto": F.sum("in_part").over(by_key.orderBy("part")), "total": F.sum("in_part").over(by_key)}
+        ).withColumns({"before": F.lit(0).cast("bigint"), "ranks": F.array_distinct(F.array(*ranks))}),
+        keys,
+    )
+
+
+def _split_parts(opened: DataFrame, keys: list[str]) -> DataFrame:
+    """Equal sub-parts of parts that hold too many rows for one task."""
+    span = F.col("hi") - F.col("lo")
+    sub = F.when(span > 0, F.least(F.floor((F.col("value") - F.col("lo")) / span * STEPS), F.lit(STEPS - 1))).otherwise(0)
+    known = ["part", "total", "before", "ranks"]
+    counted = opened.groupBy(*keys, *known, F.col("lo").alias("from"), sub.alias("sub")).agg(
+        F.sum("n").alias("in_part"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    w = Window.partitionBy(*keys, "from").orderBy("sub")
+    return _holding(counted.withColumn("upto", F.sum("in_part").over(w)), keys)
+
+
+def _holding(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts with a wanted rank among their rows, and how many rows come before them."""
+    hit = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("in_part")))
+    return (
+        parts.withColumn("start", F.col("before") + F.col("upto") - F.col("in_part"))
+        .withColumn("held", hit)
+        .where(F.size("held") > 0)
+        .select(*keys, "part", "lo", "hi", "in_part", "total", F.col("start").alias("before"), F.col("held").alias("ranks"))
+    )
+
+
+def _open(counts: DataFrame, picked: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """The values inside the picked parts. A few parts, counted before, need no shuffle of the values."""
+    if parts <= BROADCAST_ROWS:
+        joined = counts.join(F.broadcast(picked), [*keys, "part"])
+    else:
+        folded = counts.groupBy(*keys, "part", "value").agg(F.sum("n").alias("n"))
+        joined = folded.join(picked, [*keys, "part"])
+    return joined.where(F.col("value").between(F.col("lo"), F.col("hi")))
+
+
 def quantiles(
     df: DataFrame,
     cols: Sequence[str],

@@ -154,10 +154,10 @@ def _(t):
     return b.top_topics(t.topic_table, 8).select("topic_id", "frequency")
 
 
-@register("nonzero_keyword_weight", "SELECT topic_id, topic_label, frequency FROM topic_table WHERE topic_id <> -1 AND frequency % 2 = 0", "topic_table")
+@register("nonzero_keyword_weight", "SELECT topic_id, topic_label, frequency FROM topic_table WHERE topic_id <> -1 AND frequency > (SELECT avg(frequency) FROM topic_table)", "topic_table")
 def _(t):
-    even = F.col("frequency") % 2 == 0
-    weights = F.when(even, F.create_map(F.lit("word"), F.lit(1.0))).otherwise(F.create_map().cast("map<string,double>"))
+    frequent = F.col("frequency") > t.topic_table.agg(F.avg("frequency")).scalar()
+    weights = F.when(frequent, F.create_map(F.lit("word"), F.lit(1.0))).otherwise(F.create_map().cast("map<string,double>"))
     got = b.topic_keyword_weights(t.topic_table.withColumn("kw_weights", weights), k=100)
     return got.select("topic_id", "topic_label").join(t.topic_table.select("topic_id", "frequency"), "topic_id")
 

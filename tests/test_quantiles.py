@@ -48,6 +48,17 @@ def test_groups_skew_and_nulls(spark, monkeypatch, broadcast_rows):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_crowded_parts_are_split_again(spark, monkeypatch, groups):
+    monkeypatch.setattr("patronvoice.operators.quantiles.OPEN_ROWS", 5)
+    rng = np.random.default_rng(9)
+    # nearly all values share one part of the histogram; some are copies
+    values = list(1e6 + rng.random(700) * 1e-3) + [1e6 + 2e-3] * 90 + [-4.0, 0.0, 3e7]
+    got = quantiles(_frame(spark, values), ["v"], [0.1, 0.5, 0.9, 0.97], groups)
+    want = {p: float(np.quantile(values, p)) for p in (0.1, 0.5, 0.9, 0.97)}
+    assert {r["prob"]: r["quantile"] for r in got.collect()} == pytest.approx(want, rel=1e-15)
+
+
 def test_empty_column(spark):
     assert global_median(_frame(spark, [None, None]), "v").first()["median"] is None
 
