@@ -190,7 +190,8 @@ class WaveletFile:
 
 def _write(path: str, content: bytes) -> None:
     """Write under another name and rename, so that a repeated task replaces the whole file."""
-    fs, place = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+    fs, place = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
     part = f"{place}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(part) as out:
         out.write(content)
