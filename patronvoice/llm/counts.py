@@ -224,7 +224,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
             columns += [pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), *new])
 
-    schema = type(docs.schema)(keep).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    schema = type(docs.schema)(list(keep)).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
     return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text_col)).mapInArrow(run, schema)
 
 

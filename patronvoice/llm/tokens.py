@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+import re
+import struct
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +16,19 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
 
 #: Words kept per Python worker; the table starts anew beyond it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+
+
+class _Known(dict):
+    """Asks for a value once, when it is first looked up."""
+
+    def __init__(self, ask: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.ask(word)
+        return found
 
 
 class TextEncoder:
@@ -23,9 +37,11 @@ class TextEncoder:
     Where the tokenizer splits at white space and drops it, a text's ids are
     those of its white-space separated parts in order: no pattern, normal form or
     special string spans white space. Such parts repeat a lot, so the library
-    encodes each new part once and a bounded table keeps the ids. Other
-    tokenizers get whole texts. Special strings inside a text are handled as the
-    library does by default. Null is the empty text and has no ids.
+    encodes each new part once and a bounded table keeps the ids. A part of
+    plain letters goes to the library's BPE model at once, without the steps that
+    would not change it, and the punctuation behind it is looked up by itself.
+    Other tokenizers get whole texts. Special strings inside a text are handled
+    as the library does by default. Null is the empty text and has no ids.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -35,32 +51,57 @@ class TextEncoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.by_part = _drops_white_space(spec)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self._part)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as bytes, four per id."""
         if not self.by_part:
             return self._encode_whole([t or "" for t in texts])
-        parts = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        # lower case comes anyway, and must not turn a text into a special string
         out = []
-        for part in parts:
-            new = set(part).difference(self.known)
-            if new:
-                self._learn(list(new))
-            out.append(b"".join(map(self.known.__getitem__, part)))
+        for text in texts:
+            out.append(b"".join(map(self.known.__getitem__, _parts(text or ""))))
             if len(self.known) > self.cache_words:
-                self.known = {}
+                self.known.clear()
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        self.known.update(zip(words, self._encode_whole([w.decode("utf-8", "surrogatepass") for w in words])))
+    def _part(self, word: bytes) -> bytes:
+        core = word.rstrip(b".,;:!?")
+        if not core or not _PLAIN.fullmatch(core):
+            return self._encode_whole([word.decode("utf-8", "surrogatepass")])[0]
+        if len(core) == len(word):
+            return self._letters(core)
+        return self.known[core] + self.known[word[len(core) :]]
+
+    def _letters(self, word: bytes) -> bytes:
+        tokens = self.model.tokenize(word.decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _encode_whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
 
+#: lower-case letters of ASCII and Latin-1 in UTF-8: no normal form or lower casing changes them
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _parts(text: str) -> list[bytes]:
+    """The parts between ASCII white space, with A-Z in lower case unless the text may hold a special string."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw.split() if b"<|" in raw else raw.lower().split()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 #: fixed values: the steps of a tokenizer that never looks across white space
 _SQUEEZE = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
