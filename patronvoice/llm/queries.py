@@ -1,6 +1,6 @@
 """All queries of the training-data operators, each defined beside its operator."""
 
-from patronvoice.llm import counts, decontaminate, packing, shards, urlfilter, wavelet  # noqa: F401
+from patronvoice.llm import counts, decontaminate, packing, shards, simhash, urlfilter, wavelet  # noqa: F401
 from patronvoice.llm.common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
