@@ -263,11 +263,23 @@ def near_duplicates(
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with only the row of each component whose id is the component's."""
-    found = near_duplicates(docs, id_col, **options)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the one whose id is the component's smallest.
+
+    Only ids travel until the rows to keep are known. Repeated rows of that id
+    count once. Rows whose id is null stay, each with its text, as nothing tells
+    which of them another one stands for.
+    """
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    rows = docs.join(kept, id_col, "left_semi").select(docs.columns)
+    twice = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = materialize(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
+    if not repeated.isEmpty():
+        again = rows.join(repeated, id_col, "left_semi").select(docs.columns)
+        once = again.groupBy(id_col).agg(F.min(twice).alias("row")).select("row.*")
+        rows = rows.join(repeated, id_col, "left_anti").select(docs.columns).union(once)
+    return rows.union(docs.where(F.col(id_col).isNull()))
 
 
 @register("op9_simhash_pigeonhole")
