@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronvoice.session import ensure_checkpoint_dir
 
@@ -50,10 +50,23 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
-    """The strings of an Arrow column, null as the empty text."""
-    for value in column:
-        yield value.as_py() or ""
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def other_columns(df: DataFrame, *names: str) -> list[T.StructField]:
+    """The fields of ``df`` without those of the given names, in any case."""
+    gone = {n.lower() for n in names}
+    return [f for f in df.schema.fields if f.name.lower() not in gone]
+
+
+def hash_of(fields: list[T.StructField], *first: Column) -> Column:
+    """A hash of a row's columns, as far as their types can be hashed."""
+    return F.xxhash64(*first, *[F.col(f"`{f.name}`") for f in fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from patronvoice.llm.common import register, table
+from patronvoice.llm.common import other_columns, register, table
 from patronvoice.llm.tokens import CACHE_WORDS, byte_tokenizer
 
 LIMIT = 1024
@@ -213,7 +214,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
     that would clash with the three new ones are replaced.
     """
     new = ("n_bytes", "n_tokens", "over_limit")
-    keep = [f for f in docs.schema.fields if f.name != text_col and f.name not in new]
+    keep = other_columns(docs, text_col, *new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer).count
@@ -224,7 +225,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
             columns += [pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), *new])
 
-    schema = type(docs.schema)(list(keep)).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    schema = T.StructType(list(keep)).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
     return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text_col)).mapInArrow(run, schema)
 
 

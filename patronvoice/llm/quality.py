@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronvoice.llm.common import register, table
+from patronvoice.llm.common import fresh, other_columns, register, table
 from patronvoice.session import materialize
 
 #: The model is fitted on at most about this many labelled rows, chosen by a hash of their id.
@@ -89,7 +89,7 @@ def text_statistics(texts: Sequence[str | None]) -> np.ndarray:
 
 def document_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the column ``_stats``; it replaces one of that name."""
-    df = df.drop("_stats")
+    df = df.select(*[F.col(f"`{f.name}`") for f in other_columns(df, "_stats")])
     schema = T.StructType([*df.schema.fields, T.StructField("_stats", T.ArrayType(T.DoubleType()))])
     place = df.columns.index(text_col)
 
@@ -212,7 +212,7 @@ def fit_quality(
 
 def score_quality(stats: DataFrame, model: QualityModel, out_col: str = "score") -> DataFrame:
     """``stats`` with the score in place of the statistics; one row per row."""
-    keep = [f for f in stats.schema.fields if f.name not in ("_stats", out_col)]
+    keep = other_columns(stats, "_stats", out_col)
     schema = T.StructType([*keep, T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +243,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     scored alike; an empty table stays empty.
     """
     _, model = quality_model(docs, labels, text_col=text_col, **options)
-    scored = score_quality(document_statistics(docs, text_col), model, "_score")
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    score = fresh("_score", docs)
+    scored = score_quality(document_statistics(docs, text_col), model, score)
+    return scored.where(F.col(score) >= threshold).drop(score)
 
 
 @register("op1_rff_quality")

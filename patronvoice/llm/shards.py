@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronvoice.llm.common import register, table
+from patronvoice.llm.common import hash_of, other_columns, register, table
 from patronvoice.session import materialize
 
 SHARDS = 16
@@ -124,17 +124,15 @@ def shard_by_bytes(
     every column are one unit to the boundaries, so they stay in one block. An
     empty table stays empty. Columns named like the three new ones are replaced.
     """
-    new = ("size", "shard", "slot")
-    keep = [c for c in docs.columns if c not in new]
-    flat = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in keep and f.dataType.typeName() not in ("map", "variant")]
+    keep = other_columns(docs, "size", "shard", "slot")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        F.struct(*[F.col(f"`{f.name}`") for f in keep]).alias("row"),
         (F.octet_length(text).cast("bigint") + 1).alias("size"),
-        F.xxhash64(text).alias("_high"),
-        F.xxhash64(F.lit(1), *flat).alias("_low"),
+        F.xxhash64(text).alias("high"),
+        hash_of(keep, F.lit(1)).alias("low"),
     )
-    keyed = materialize(rows.select(F.col("_high").alias("high"), F.col("_low").alias("low"), "size"))
+    keyed = materialize(rows.select("high", "low", "size"))
     total = keyed.agg(F.sum("size")).first()[0] or 0
     per_shard = min(MAX_BLOCKS, max(1, -(-total // (shards * block_bytes))))
     splitters = find_splitters(keyed, shards * per_shard, tolerance)
@@ -142,16 +140,16 @@ def shard_by_bytes(
     first = [sum(counts[b - b % per_shard : b]) for b in range(len(counts))]
 
     parts = [_part(k) for k in splitters]
-    block = _number_not_above(F.col("_high"), F.col("_low"), parts)
-    placed = rows.withColumn("_block", block).repartitionById(len(counts), "_block").sortWithinPartitions("_high", "_low")
+    block = _number_not_above(F.col("high"), F.col("low"), parts)
+    placed = rows.withColumn("block", block).repartitionById(len(counts), "block").sortWithinPartitions("high", "low")
     # a block is a partition, so the low bits count its rows from 0
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     offsets = F.array(*[F.lit(n).cast("bigint") for n in first])
     return placed.select(
-        *[F.col(f"`{c}`") for c in keep],
+        "row.*",
         "size",
-        F.floor(F.col("_block") / per_shard).cast("int").alias("shard"),
-        (index + F.get(offsets, F.col("_block"))).alias("slot"),
+        F.floor(F.col("block") / per_shard).cast("int").alias("shard"),
+        (index + F.get(offsets, F.col("block"))).alias("slot"),
     )
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from patronvoice.llm.common import components, register, table
+from patronvoice.llm.common import components, hash_of, register, table
 from patronvoice.session import materialize
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
@@ -273,11 +273,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     rows = docs.join(kept, id_col, "left_semi").select(docs.columns)
-    twice = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = materialize(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = materialize(rows.select(id_col).groupBy(id_col).count().where("count > 1").select(id_col))
     if not repeated.isEmpty():
         again = rows.join(repeated, id_col, "left_semi").select(docs.columns)
-        once = again.groupBy(id_col).agg(F.min(twice).alias("row")).select("row.*")
+        once = again.groupBy(id_col).agg(F.min_by(whole, hash_of(docs.schema.fields)).alias("row")).select("row.*")
         rows = rows.join(repeated, id_col, "left_anti").select(docs.columns).union(once)
     return rows.union(docs.where(F.col(id_col).isNull()))
 

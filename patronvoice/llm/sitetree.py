@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from patronvoice.llm.common import BROADCAST_BYTES, register, table
+from patronvoice.llm.common import BROADCAST_BYTES, fresh, other_columns, register, table
 from patronvoice.llm.urlfilter import url_host
 from patronvoice.operators.joins import lookup_join
 from patronvoice.session import materialize
@@ -290,33 +290,33 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     their own. Repeated rows are pages of their own to the statistics. A column
     already named ``out_col`` is replaced.
     """
-    pages = pages.withColumn("_host", url_host(F.col(url_col)))
-    features = tree_features(pages, "_host", html_col)
+    features = tree_features(pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), "host", "html")
     low = materialize(unimportant_paths(features, **limits))
-    keep = [f for f in pages.schema.fields if f.name not in (html_col, out_col, "_host")]
-    slim = pages.select("_host", *[F.col(f"`{f.name}`") for f in keep], F.col(html_col).alias("_html"))
+    keep = other_columns(pages, html_col, out_col)
+    host, body, paths = fresh("_host", pages), fresh("_html", pages), fresh("_paths", pages)
+    slim = pages.select(url_host(F.col(url_col)).alias(host), *[F.col(f"`{f.name}`") for f in keep], F.col(html_col).alias(body))
     hosts, size = low.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("paths", ">")))).first()
-    small = low.select(F.col("host").alias("_host"), "paths")
+    small = low.select(F.col("host").alias(host), F.col("paths").alias(paths))
     if (size or 0) + 64 * hosts <= BROADCAST_BYTES:
-        joined = slim.join(F.broadcast(small), "_host", "left")
+        joined = slim.join(F.broadcast(small), host, "left")
     else:
-        joined = lookup_join(slim, small, ["_host"], _SALTS)
+        joined = lookup_join(slim, small, [host], _SALTS)
     schema = T.StructType([*keep, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, frozenset[str]] = {}
         for batch in batches:
             texts = []
-            for host, source, paths in zip(*(batch.column(i).to_pylist() for i in (0, batch.num_columns - 2, batch.num_columns - 1))):
-                if host not in seen:
+            for name, source, low_paths in zip(*(batch.column(i).to_pylist() for i in (0, batch.num_columns - 2, batch.num_columns - 1))):
+                if name not in seen:
                     if len(seen) > 1000:
                         seen.clear()
-                    seen[host] = frozenset(paths or ())
-                texts.append(main_text(source, seen[host]))
+                    seen[name] = frozenset(low_paths or ())
+                texts.append(main_text(source, seen[name]))
             columns = [batch.column(i + 1) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f.name for f in keep), out_col])
 
-    return joined.select("_host", *[F.col(f"`{f.name}`") for f in keep], "_html", "paths").mapInArrow(run, schema)
+    return joined.select(host, *[F.col(f"`{f.name}`") for f in keep], body, paths).mapInArrow(run, schema)
 
 
 @register("op8_site_style_tree")
