@@ -147,7 +147,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def _without(text: Column, spans: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
     hit = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1))))
-    is_word = F.lit("^" + _PIECE.partition("|")[0])
+    is_word = "^" + _PIECE.partition("|")[0]
     # words and what lies between them alternate
     first = F.when(F.element_at(pieces, 1).rlike(is_word), 1).otherwise(0)
     number = lambda i: F.floor((i + 1 + first) / 2).cast("int")

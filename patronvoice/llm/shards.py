@@ -24,7 +24,7 @@ SHARDS = 16
 #: Largest distance of a splitter from its target, as a share of a block's bytes.
 TOLERANCE = 0.002
 #: Bytes of a block, about; a shard has 1 to MAX_BLOCKS of them.
-BLOCK_BYTES, MAX_BLOCKS = 64 << 20, 64
+BLOCK_BYTES, MAX_BLOCKS = 16 << 20, 256
 _PROBES = 16
 _HALF = 1 << 63
 

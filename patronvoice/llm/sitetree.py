@@ -5,8 +5,9 @@ with their classes and ids, and carries what varies over the pages. Presentation
 varies by the sequence of child elements, content by the text of the node's own
 blocks. Both are measured by entropy over the pages: text that many pages repeat
 is unimportant, text that each page has for itself is important. A branch's
-importance is that of its content with a share of its presentation's; a second
-tree over all hosts stands beside the host's, and the lower importance counts.
+importance is that of its content with a share of its presentation's, and a branch
+goes only if every node in it is unimportant; a second tree over all hosts stands
+beside the host's, and the lower importance counts.
 
 Presentation also speaks for itself: element names, roles, classes and ids that
 mark menus, notices, adverts, forms or comments make a branch unimportant, an
@@ -219,7 +220,7 @@ def tree_features(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pages, importance) of every node from (by, content, t, l): counts of a feature and their sum of n ln n."""
+    """(by, pages, importance) of every branch from (by, content, t, l): counts of a feature and their sum of n ln n."""
     own = F.col("content")
     log_t = F.col("t") * F.log(F.col("t"))
     nodes = counts.groupBy(*by).agg(
@@ -246,8 +247,15 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
         .groupBy(*by)
         .agg((F.sum("good") / F.sum("texts")).alias("below"))
     )
-    mixed = CONTENT_WEIGHT * F.coalesce("below", F.lit(1.0)) + (1 - CONTENT_WEIGHT) * F.col("style")
-    return nodes.join(below, by, "left").select(*by, "pages", mixed.alias("importance"))
+    mixed = CONTENT_WEIGHT * F.coalesce("below", "style") + (1 - CONTENT_WEIGHT) * F.col("style")
+    rated = nodes.join(below, by, "left").select(*by, "pages", mixed.alias("importance"))
+    # a branch is as important as the most important node in it
+    most = (
+        rated.select(*[c for c in by if c != "path"], F.explode(above).alias("path"), "importance")
+        .groupBy(*by)
+        .agg(F.max("importance").alias("importance"))
+    )
+    return rated.drop("importance").join(most, by)
 
 
 def unimportant_paths(features: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
