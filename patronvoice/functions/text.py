@@ -71,8 +71,8 @@ def clean_review_text(c: Column) -> Column:
     return strip_text(text)
 
 
-def truncate_for_model(c: Column, n: int | None = 512) -> Column:
-    """Newlines to spaces, strip; keep ``n`` characters, or the whole text for ``None``."""
+def truncate_for_model(c: Column, n: int | None = None) -> Column:
+    """Newlines to spaces, strip; the whole text, or its first ``n`` characters for a model that needs a limit."""
     text = strip_text(F.replace(c, F.lit("\n"), F.lit(" ")))
     return text if n is None else F.substring(text, 1, n)
 

@@ -103,8 +103,19 @@ def share_within_group(df: DataFrame, outer: str, inner: str, digits: int | None
     return shared if digits is None else shared.withColumn("pct", round_half_even(F.col("pct"), digits))
 
 
-def histogram(df: DataFrame, value: str, by: Sequence[str], lo: float, hi: float, bins: int) -> DataFrame:
-    """(by, bin, bin_start, count) over equal bins; values outside [lo, hi] are left out."""
+def histogram(df: DataFrame, value: str, by: Sequence[str], lo: float | None, hi: float | None, bins: int) -> DataFrame:
+    """(by, bin, bin_start, count) over equal bins.
+
+    A bound that is None is the data's own smallest or largest finite value, so
+    that no value is left out; a single value gets half a unit on either side.
+    Values outside given bounds are left out.
+    """
+    if lo is None or hi is None:
+        finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
+        ends = df.agg(F.min(finite).cast("double"), F.max(finite).cast("double")).first()
+        lo, hi = (ends[0] or 0.0) if lo is None else lo, (ends[1] or 0.0) if hi is None else hi
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
     binned = df.withColumn("bin", equal_width_bin(F.col(value), lo, hi, bins)).where(F.col("bin").isNotNull())
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"))
     return counts.withColumn("bin_start", F.lit(float(lo)) + F.col("bin") * F.lit((hi - lo) / bins))
@@ -128,8 +139,8 @@ def display_row_number(df: DataFrame, order: Sequence, name: str = "row") -> Dat
 
 
 def random_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows in hash order of the key: the same rows however the table is split."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows in the order of a digest of seed and key: the same rows however the table is split."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}#"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 # -- overview ----------------------------------------------------------------

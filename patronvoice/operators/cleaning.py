@@ -75,8 +75,9 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 def keep_most_complete(df: DataFrame, key: str) -> DataFrame:
     """One row per key, the one with the fewest nulls; null keys count as one key.
 
-    The smallest struct per key is a plain aggregate: rows of a hot key are
-    reduced before the shuffle, nothing is sorted per key. Ties are settled by
+    The smallest struct per key is an aggregate: rows of a hot key are reduced
+    before the shuffle. Spark sorts for it, as structs are no hash aggregate's
+    state, but no group is gathered. Ties are settled by
     all columns in name order. Exact copies fall away as well.
     """
     if key not in df.columns:

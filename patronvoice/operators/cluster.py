@@ -1,63 +1,33 @@
-"""Density clustering without comparing pairs of points.
-
-Space is cut into cubes with a diagonal of ``eps``, several times over, each
-time turned and shifted at random. All points of one cube are within ``eps`` of
-each other, so a cube with ``min_samples`` points holds only core points of one
-cluster, and nobody has to look at the pairs. Clusters are the connected
-components of points and dense cubes; a point outside every dense cube belongs
-to a cluster when it shares a cube with a core point, and is noise otherwise.
-
-Every link is a true eps-link, so clusters never join points that density
-clustering at ``eps`` would keep apart; more tables find more of the links.
-The work grows with points x tables. A cube holding a third of all points is
-one sum, and copies of a point are folded into one node.
+"""Density clustering on exact neighbours.
+
+A point with ``min_samples`` points within ``eps`` (itself and copies included) is
+a core point; clusters are the connected components of core points within ``eps``
+of each other, and any other point joins the cluster of a core point within
+``eps`` or is noise. Neighbours come from ``operators.neighbours``, which finds all
+of them; copies of a point are folded into one node, and links travel as forests,
+so a dense group costs no more rows than it has points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronvoice.operators.joins import lookup_join
+from patronvoice.operators.neighbours import core_links, neighbour_counts, visits
 from patronvoice.operators.vectors import mean_vectors
-from patronvoice.session import ensure_checkpoint_dir
+from patronvoice.session import ensure_checkpoint_dir, materialize
 
 NOISE = -1
 _SALTS = 4  # lookups are about as long as what they join; adaptive execution splits further
 
 
-def _cube_keys(eps: float, tables: int, seed: int):
-    @F.pandas_udf("array<bigint>")
-    def keys(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy())
-        dims = x.shape[1]
-        side = eps / np.sqrt(dims)
-        rng = np.random.default_rng(seed)
-        out = np.empty((len(x), tables), dtype=np.uint64)
-        for t in range(tables):
-            turn, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-            moved = np.tile(rng.uniform(0, side, dims), (len(x), 1))
-            # summed one input dimension at a time: the same row gives the same bits in any batch
-            for d in range(dims):
-                moved += x[:, d : d + 1] * turn[d]
-            cells = np.floor(moved / side).astype(np.int64).astype(np.uint64)
-            h = np.full(len(x), rng.integers(1 << 63), dtype=np.uint64)  # keeps the tables apart
-            for d in range(dims):
-                h = (h ^ cells[:, d]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            out[:, t] = h
-        return pd.Series(list(out.astype(np.int64)))
-
-    return keys
-
-
 def star_components(edges: DataFrame, node: str = "node", hub: str = "hub") -> DataFrame:
     """(node, component) of the graph whose edges tie nodes to hubs.
 
@@ -105,41 +75,50 @@ def _jump(hooks: DataFrame) -> DataFrame:
     return lookup_join(hooks, target, ["root"], _SALTS).select("node", F.coalesce("_to", "root").alias("root"))
 
 
-def density_components(
-    points: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int, tables: int = 8, seed: int = 42
-) -> DataFrame:
-    """(id, component); component is the smallest id of the cluster, null for noise."""
-    ensure_checkpoint_dir(points.sparkSession)
-    keyed = (
-        points.where(F.col(vec_col).isNotNull())
-        .select(F.col(id_col).alias("id"), _cube_keys(eps, tables, seed)(F.col(vec_col).cast("array<double>")).alias("cubes"))
-        .checkpoint()
-    )
-    # points in the same cubes throughout are one node
-    nodes = keyed.groupBy("cubes").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).checkpoint()
-    member = nodes.select("node", "n", F.explode("cubes").alias("hub"))
-    dense = member.groupBy("hub").agg(F.sum("n").alias("size")).where(F.col("size") >= min_samples)
-    flagged = lookup_join(member, dense, ["hub"], _SALTS).checkpoint()
-    core = star_components(flagged.where(F.col("size").isNotNull()))
-    # cubes with a core point hand its component to their other points
-    loose = lookup_join(flagged, core, ["node"])
-    reach = loose.groupBy("hub").agg(F.min("component").alias("near"))
-    border = (
-        lookup_join(loose.where(F.col("component").isNull()), reach, ["hub"], _SALTS)
-        .groupBy("node")
-        .agg(F.min("near").alias("near"))
-    )
-    by_node = lookup_join(lookup_join(nodes, core, ["node"]), border, ["node"]).select(
-        "cubes", F.coalesce("component", "near").alias("component")
-    )
-    return lookup_join(keyed, by_node, ["cubes"], _SALTS).select(F.col("id").alias(id_col), "component")
+def density_components(points: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int) -> DataFrame:
+    """(id, component); component is the smallest id among the cluster's core points.
+
+    Null for noise, and for vectors that are null, empty or not finite. A point
+    near core points of several clusters joins the one with the smallest component.
+    """
+    fine = (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = materialize(points.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    folded = rows.where(fine).groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    nodes = materialize(folded.withColumn("node", F.monotonically_increasing_id()))
+    if nodes.isEmpty():
+        return rows.select(F.col("id").alias(id_col), F.lit(None).cast(rows.schema["id"].dataType).alias("component"))
+    members = materialize(visits(nodes, eps))
+    counts = materialize(neighbour_counts(members, eps).select("node", (F.col("count") >= min_samples).alias("core")))
+    linked = materialize(core_links(materialize(lookup_join(members, counts, ["node"])), eps))
+    # every core point is its own neighbour, so all of them are in here
+    core = lookup_join(star_components(linked.where("core")), nodes.select("node", "first"), ["node"])
+    names = materialize(core.groupBy("component").agg(F.min("first").alias("name")))
+    core = materialize(lookup_join(core, names, ["component"], _SALTS).select("node", "name"))
+    near = linked.where("NOT core").select("node", F.col("hub").alias("to"))
+    border = near.join(core.select(F.col("node").alias("to"), "name"), "to").groupBy("node").agg(F.min("name").alias("near"))
+    by_node = lookup_join(lookup_join(nodes, core, ["node"]), border, ["node"])
+    by_vec = by_node.select("vec", F.coalesce("name", "near").alias("component"))
+    return lookup_join(rows, by_vec, ["vec"], _SALTS).select(F.col("id").alias(id_col), "component")
+
+
+def dense_numbers(df: DataFrame, order: Sequence[Column | str], out_col: str) -> DataFrame:
+    """``df`` sorted by ``order`` with numbers from 0 without gaps, whatever the partitions.
+
+    Only one count per sorted partition meets in one place.
+    """
+    ranked = materialize(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ranked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    numbered = lookup_join(ranked.withColumn("_part", part), offsets, ["_part"])
+    return numbered.withColumn(out_col, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
 
 
 def number_clusters(assigned: DataFrame, min_size: int, out_col: str) -> DataFrame:
     """Cluster ids by falling size from 0; small clusters become noise.
 
-    The ids grow with the rank; on several partitions they leave gaps, which
-    spares a sort of all clusters in one task. Checkpointed, so they stay put.
+    Equal sizes are ordered by component; the ids do not depend on partitions.
     """
     sizes = (
         assigned.where(F.col("component").isNotNull())
@@ -147,11 +126,7 @@ def number_clusters(assigned: DataFrame, min_size: int, out_col: str) -> DataFra
         .agg(F.count(F.lit(1)).alias("size"))
         .where(F.col("size") >= min_size)
     )
-    ids = (
-        sizes.orderBy(F.desc("size"), "component")
-        .select("component", F.monotonically_increasing_id().alias("_cluster"))
-        .checkpoint()
-    )
+    ids = dense_numbers(sizes, [F.desc("size"), "component"], "_cluster").select("component", "_cluster")
     return (
         lookup_join(assigned, ids, ["component"], _SALTS)
         .withColumn(out_col, F.coalesce("_cluster", F.lit(NOISE).cast("bigint")))
@@ -166,36 +141,39 @@ def cluster_density(
     eps: float,
     min_samples: int = 5,
     min_size: int = 15,
-    tables: int = 8,
-    seed: int = 42,
     out_col: str = "topic_id",
 ) -> DataFrame:
     """``df`` with a cluster id per row, -1 for noise. ``id_col`` is unique."""
-    found = density_components(df, id_col, vec_col, eps, min_samples, tables, seed)
+    found = density_components(df, id_col, vec_col, eps, min_samples)
     return lookup_join(df, number_clusters(found, min_size, out_col), [id_col])
 
 
 def cluster_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = 42, out_col: str = "topic_id") -> DataFrame:
-    """The same output from cosine k-means: every row gets a cluster."""
-    rows = df.withColumn("_vec", array_to_vector(F.col(vec_col).cast("array<double>")))
-    model = Pipeline(stages=[KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="_vec", predictionCol="_k")]).fit(rows)
-    return model.transform(rows).withColumn(out_col, F.col("_k").cast("bigint")).select(*df.columns, out_col)
-
-
-def merge_similar_topics(
-    df: DataFrame, topic_col: str, vec_col: str, tau: float = 0.9, tables: int = 32, seed: int = 42
-) -> DataFrame:
-    """(topic, merged): topics whose centroids reach a cosine of ``tau`` get one id.
-
-    Unit vectors with that cosine are sqrt(2 - 2 tau) apart, so the cubes of the
-    clustering find them; ``merged`` is the smallest id of the merged topics.
+    """The same output from cosine k-means; null and zero vectors, which have no direction, are noise."""
+    vec = F.col(vec_col).cast("array<double>")
+    rows = df.withColumn("_usable", F.coalesce(F.exists(vec, lambda x: x != 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False)))
+    known = rows.where("_usable").withColumn("_vec", array_to_vector(vec))
+    noise = F.lit(NOISE).cast("bigint").alias(out_col)
+    others = rows.where("NOT _usable").select(*df.columns, noise)
+    if known.isEmpty():
+        return df.select(*df.columns, noise)
+    model = Pipeline(stages=[KMeans(k=k, seed=seed, distanceMeasure="cosine", featuresCol="_vec", predictionCol="_k")]).fit(known)
+    return model.transform(known).select(*df.columns, F.col("_k").cast("bigint").alias(out_col)).union(others)
+
+
+def merge_similar_topics(df: DataFrame, topic_col: str, vec_col: str, tau: float = 0.9) -> DataFrame:
+    """(topic, merged): topics whose centroids reach a cosine of ``tau`` get one id, the smallest.
+
+    Unit vectors with that cosine are sqrt(2 - 2 tau) apart; the neighbour search
+    of the clustering finds all such pairs. Topics without a direction stay alone.
     """
-    centroids = mean_vectors(df.where(F.col(topic_col) != NOISE), [topic_col], vec_col)
+    centroids = materialize(mean_vectors(df.where(F.col(topic_col) != NOISE), [topic_col], vec_col))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     unit = centroids.withColumn("_length", length).where("_length > 0").select(
         topic_col, F.transform("vector", lambda x: x / F.col("_length")).alias("vector")
     )
-    linked = density_components(unit, topic_col, "vector", float(np.sqrt(2 - 2 * tau)), 2, tables, seed)
+    # a hair wider than the bound, as the square root is rounded
+    linked = density_components(unit, topic_col, "vector", float(np.sqrt(max(0.0, 2 - 2 * tau))) + 1e-9, 1)
     merged = lookup_join(centroids.select(topic_col), linked, [topic_col])
     return merged.select(topic_col, F.coalesce("component", topic_col).alias("merged"))
 

@@ -35,6 +35,8 @@ def histogram_part(value: Column) -> Column:
     size = F.abs(value)
     exponent = F.floor(F.log2(size))
     part = (exponent + 1100) * STEPS + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
+    ends = 3000 * STEPS  # infinities lie beyond every other part
+    part = F.when(size == float("inf"), F.lit(ends).cast("bigint")).otherwise(part)
     # smaller magnitudes than 2^-1000 share part 0 with zero
     return F.when(size < 2.0**-1000, F.lit(0).cast("bigint")).when(value > 0, part).otherwise(-part)
 
@@ -81,8 +83,9 @@ def weighted_quantiles(counts: DataFrame, groups: Sequence[str], probs: Sequence
     )
     position = F.col("prob") * (F.col("total") - 1)
     below, above = F.col("at")[F.floor(position)], F.col("at")[F.ceil(position)]
+    share = position - F.floor(position)
     return at_rank.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
-        *keys, "prob", (below + (above - below) * (position - F.floor(position))).alias("quantile")
+        *keys, "prob", F.when(below == above, below).otherwise(below + (above - below) * share).alias("quantile")
     )
 
 
@@ -220,7 +223,8 @@ def fit_group_medians(df: DataFrame, value: str, group: str) -> GroupMedians:
     counted = materialize(
         df.groupBy(group, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
-    known = counted.where(F.col("value").isNotNull() & F.col(group).isNotNull()).withColumn("metric", F.lit(value))
+    number = F.col("value").isNotNull() & ~F.isnan("value")
+    known = counted.where(number & F.col(group).isNotNull()).withColumn("metric", F.lit(value))
     medians = materialize(
         weighted_quantiles(known, [group], [0.5]).select(group, F.col("quantile").alias("median"))
     )
@@ -229,7 +233,7 @@ def fit_group_medians(df: DataFrame, value: str, group: str) -> GroupMedians:
         .groupBy(F.lit(value).alias("metric"), F.coalesce("value", "median").alias("value"))
         .agg(F.sum("n").alias("n"))
     )
-    with_value = group_filled.where(F.col("value").isNotNull())
+    with_value = group_filled.where(number)
     # one number
     overall = F.lit(weighted_quantiles(with_value, [], [0.5]).agg(F.max("quantile")).first()[0]).cast("double")
     filled = group_filled.withColumn("value", F.coalesce("value", overall)).where(F.col("value").isNotNull())

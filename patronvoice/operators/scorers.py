@@ -35,6 +35,17 @@ class LabelScorer:
         return df.withColumns({"raw_label": F.col(self.label_col), "score": F.col(self.score_col)})
 
 
+@dataclass(frozen=True)
+class ConstantScorer:
+    """The same label and confidence for every text."""
+
+    label: str
+    score: float
+
+    def __call__(self, df: DataFrame, text_col: str) -> DataFrame:
+        return df.withColumns({"raw_label": F.lit(self.label), "score": F.lit(self.score)})
+
+
 @dataclass(frozen=True)
 class ModelScorer:
     """A fitted Spark ML model; the confidence is the larger class probability."""
@@ -42,7 +53,7 @@ class ModelScorer:
     model: PipelineModel
 
     def __call__(self, df: DataFrame, text_col: str) -> DataFrame:
-        scored = self.model.transform(df.withColumn("_text", truncate_for_model(F.col(text_col), None)))
+        scored = self.model.transform(df.withColumn("_text", truncate_for_model(F.coalesce(F.col(text_col), F.lit("")))))
         positive = vector_to_array("_probability")[1]
         return (
             scored.withColumn("_positive", positive)
@@ -59,11 +70,19 @@ def train_scorer(
     features: int = 1 << 16,
     max_iter: int = 20,
     reg: float = 0.01,
-) -> ModelScorer:
-    """Logistic regression on hashed TF-IDF; ``label_col`` is 1 positive, 0 negative, null unused."""
+) -> ModelScorer | ConstantScorer:
+    """Logistic regression on hashed TF-IDF; ``label_col`` is 1 positive, 0 negative, null unused.
+
+    A null text has no words. Without rows of both classes every text gets the
+    one class there is (positive without any), with a confidence of 1 (0.5).
+    """
     rows = df.where(F.col(label_col).isNotNull()).select(
-        truncate_for_model(F.col(text_col), None).alias("_text"), F.col(label_col).cast("double").alias("_label")
+        truncate_for_model(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.col(label_col).cast("double").alias("_label")
     )
+    # at most two classes
+    classes = [r["_label"] for r in rows.select("_label").distinct().limit(2).collect()]
+    if len(classes) < 2:
+        return ConstantScorer("POSITIVE" if classes != [0.0] else "NEGATIVE", 1.0 if classes else 0.5)
     stages = [
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),

@@ -77,7 +77,7 @@ def term_counts(
     ngrams: tuple[int, int] = (1, 2),
     min_df: int = 5,
     max_df: float = 0.90,
-    max_features: int | None = 10_000,
+    max_features: int | None = None,
     stop: Sequence[str] = (),
 ) -> DataFrame:
     """(topic, term, tf) of the terms within the document-frequency limits.
@@ -97,8 +97,7 @@ def term_counts(
     )
     if max_features is not None:
         vocabulary = kept.select("term", "_all").distinct().orderBy(F.desc("_all"), "term").limit(max_features)
-        # at most max_features rows
-        kept = kept.join(F.broadcast(vocabulary.select("term")), "term", "left_semi")
+        kept = kept.join(vocabulary.select("term"), "term", "left_semi")
     return kept.select(topic_col, "term", "tf")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +36,14 @@ class TopicParams:
     eps: float = 0.6
     min_samples: int = 5
     min_size: int = 15
-    tables: int = 8
     k: int = 8
-    merge_tau: float | None = None
+    merge_tau: float | None = 0.9  # None: topics are not merged
     embed_dims: int = 256
     ngrams: tuple[int, int] = (1, 2)
     min_df: int = 5
     max_df: float = 0.90
-    max_features: int | None = 10_000
-    stop: Sequence[str] = ()
+    max_features: int | None = None
+    stop: Sequence[str] | None = None  # None: the English list
     top_n_words: int = 10
     candidates: int = 30
     rerank: bool = True
@@ -52,6 +51,10 @@ class TopicParams:
     seed: int = 42
 
 
+def _with_stop_words(params: TopicParams) -> TopicParams:
+    return params if params.stop is not None else replace(params, stop=terms_ops.stop_words())
+
+
 def min_token_filter(df: DataFrame, col: str, n: int = 5) -> DataFrame:
     return df.where(has_min_tokens(F.col(col), n))
 
@@ -102,7 +105,7 @@ def fit_topics(
     embedded here. Vectors, clustered reviews and topics each feed several later
     steps, so each is written once.
     """
-    p = params
+    p = _with_stop_words(params)
     if vec_col:
         vectors = reviews.select(id_col, F.col(vec_col).alias("embedding"))
     else:
@@ -112,9 +115,9 @@ def fit_topics(
     if p.method == "kmeans":
         clusters = cluster_kmeans(reduced, "reduced", p.k, p.seed)
     else:
-        clusters = cluster_density(reduced, id_col, "reduced", p.eps, p.min_samples, p.min_size, p.tables, p.seed)
+        clusters = cluster_density(reduced, id_col, "reduced", p.eps, p.min_samples, p.min_size)
     if p.merge_tau is not None:
-        merged = merge_similar_topics(clusters, "topic_id", "reduced", p.merge_tau, seed=p.seed)
+        merged = merge_similar_topics(clusters, "topic_id", "reduced", p.merge_tau)
         clusters = apply_merge(clusters, merged, "topic_id")
     clustered = materialize(lookup_join(reviews, clusters, [id_col]))
     topics = materialize(topic_table(clustered, text_col, "reduced", p))
@@ -125,7 +128,7 @@ def topic_table(
     docs: DataFrame, text_col: str, vec_col: str | None, params: TopicParams, topic_col: str = "topic_id"
 ) -> DataFrame:
     """Keywords, labels and frequencies of texts whose topic is known."""
-    p = params
+    p = _with_stop_words(params)
     counts = terms_ops.term_counts(docs, text_col, topic_col, p.ngrams, p.min_df, p.max_df, p.max_features, p.stop)
     weights = terms_ops.class_tfidf(counts, topic_col)
     if p.rerank and vec_col:
@@ -157,9 +160,9 @@ def complaint_topics(
 
 
 def topic_map_2d(
-    docs: DataFrame, key: str, vec_col: str, topic_col: str = "topic_id", n: int | None = 3000
+    docs: DataFrame, key: str, vec_col: str, topic_col: str = "topic_id", n: int | None = None
 ) -> DataFrame:
-    """(key, topic, x, y) of the first ``n`` rows by key; all rows for ``None``."""
+    """(key, topic, x, y) of all rows, or of the first ``n`` by key."""
     sample = docs.select(key, topic_col, vec_col)
     if n is not None:
         sample = sample.orderBy(key).limit(n)

@@ -115,9 +115,14 @@ def _(t):
     return b.histogram(t.read("lineitem"), "l_quantity", ["l_returnflag"], 0, 50, 10)
 
 
-@register("histogram_auto", "SELECT CAST(least(floor(value / 4e0), 49) AS INT) AS bin, count(*) AS count, least(floor(value / 4e0), 49) * 4e0 AS bin_start FROM events WHERE value BETWEEN 0 AND 200 GROUP BY ALL")
+@register("histogram_auto", 
+    "WITH r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 50 AS w FROM events), "
+    "g AS (SELECT value, lo, w, least(CAST(floor((value - lo) / w) AS INT), 49) AS g FROM events, r WHERE value IS NOT NULL), "
+    "f AS (SELECT lo, w, CASE WHEN value < lo + CAST(g AS DOUBLE) * w THEN g - 1 WHEN g < 49 AND value >= lo + CAST(g + 1 AS DOUBLE) * w THEN g + 1 ELSE g END AS bin FROM g) "
+    "SELECT CAST(bin AS INT) AS bin, count(*) AS count, lo + bin * w AS bin_start FROM f GROUP BY bin, lo, w",
+)
 def _(t):
-    return b.histogram(t.read("events"), "value", [], 0, 200, 50)
+    return b.histogram(t.read("events"), "value", [], None, None, 50)
 
 
 @register(
@@ -144,7 +149,7 @@ def _(t):
     return b.display_row_number(b.top_categories(t.part, "p_brand", 10), [F.desc("count"), "p_brand"])
 
 
-@register("random_sample")
+@register("random_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat('42#', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 500")
 def _(t):
     return b.random_sample(t.read("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 500)
 

@@ -30,23 +30,39 @@ def _(t):
 @register("embed_texts")
 def _(t):
     got = vectors.embed_texts(t.documents.select("doc_id", "text"), "text", dims=64)
-    return got.select("doc_id", F.size("embedding").alias("dims"))
+    return got.select("doc_id", "embedding")
 
 
 @register("reduce_dimensions")
 def _(t):
     got = vectors.reduce_dimensions(t.read("embeddings"), "embedding", 10)
-    return got.select("vec_id", F.size("reduced").alias("dims"))
-
-
-def _clustered(t):
-    reduced = vectors.reduce_dimensions(t.read("embeddings"), "embedding", 3)
-    return cluster.cluster_density(reduced, "vec_id", "reduced", eps=0.4, min_samples=4, min_size=10)
-
-
-@register("cluster_density")
+    return got.select("vec_id", "reduced")
+
+
+_EPS, _MIN_SAMPLES, _MIN_SIZE = 0.5, 4, 3
+_PLANTED = {  # five groups of suppliers and, in each, points that are too thinly spread
+    "x": "(s_suppkey * 37 % 5) * 10e0 + (s_suppkey % 7) * 0.3e0",
+    "y": "(s_suppkey % 3) * 0.35e0 + CASE WHEN s_suppkey % 11 = 0 THEN s_suppkey * 3e0 ELSE 0e0 END",
+}
+_DENSITY_SQL = f"""
+WITH RECURSIVE p AS (SELECT s_suppkey AS id, {_PLANTED["x"]} AS x, {_PLANTED["y"]} AS y FROM supplier),
+near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {_EPS}),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {_MIN_SAMPLES}),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
+border AS (SELECT n.a AS id, min(k.c) AS c FROM near n JOIN comp k ON n.b = k.id GROUP BY n.a),
+every AS (SELECT p.id, coalesce(comp.c, border.c) AS c FROM p LEFT JOIN comp ON p.id = comp.id LEFT JOIN border ON p.id = border.id),
+ids AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS topic_id FROM every WHERE c IS NOT NULL GROUP BY c HAVING count(*) >= {_MIN_SIZE})
+SELECT every.id AS s_suppkey, coalesce(topic_id, -1) AS topic_id FROM every LEFT JOIN ids ON every.c = ids.c
+"""
+
+
+@register("cluster_density", _DENSITY_SQL)
 def _(t):
-    return _clustered(t).select("vec_id", "topic_id")
+    points = t.read("supplier").select("s_suppkey", F.expr(f"array({_PLANTED['x']}, {_PLANTED['y']})").alias("point"))
+    got = cluster.cluster_density(points, "s_suppkey", "point", _EPS, _MIN_SAMPLES, _MIN_SIZE)
+    return got.select("s_suppkey", "topic_id")
 
 
 @register("cluster_kmeans")
@@ -63,7 +79,18 @@ def _(t):
     return means.select("label", "n", r6(F.col("vector")[0]).alias("first"))
 
 
-@register("assign_topics")
+_CENTROIDS = (
+    "each AS (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings), "
+    "mean AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM each GROUP BY label, i), "
+    "size AS (SELECT label, sqrt(sum(v * v)) AS s FROM mean GROUP BY label)"
+)
+
+
+@register(
+    "assign_topics",
+    f"WITH {_CENTROIDS}, c AS (SELECT vec_id, mean.label, sum(CAST(embedding[mean.i] AS DOUBLE) * v) AS dot FROM each JOIN mean ON each.i = mean.i GROUP BY vec_id, mean.label) "
+    "SELECT vec_id, CAST(first(c.label ORDER BY dot / s DESC, c.label) AS BIGINT) AS topic_id FROM c JOIN size ON c.label = size.label GROUP BY vec_id",
+)
 def _(t):
     embeddings = t.read("embeddings")
     centroids = vectors.mean_vectors(embeddings, ["label"], "embedding")
@@ -71,10 +98,18 @@ def _(t):
     return got.select("vec_id", "topic_id")
 
 
-@register("merge_similar_topics")
+_TAU = 0.21
+
+
+@register(
+    "merge_similar_topics",
+    f"WITH RECURSIVE {_CENTROIDS}, near AS (SELECT a.label AS a, b.label AS b FROM mean a JOIN mean b ON a.i = b.i JOIN size x ON x.label = a.label JOIN size y ON y.label = b.label "
+    f"GROUP BY a.label, b.label, x.s, y.s HAVING sum(a.v * b.v) / x.s / y.s >= {_TAU}), "
+    "reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a) "
+    "SELECT a AS topic_id, min(b) AS merged FROM reach GROUP BY a",
+)
 def _(t):
-    clustered = cluster.cluster_kmeans(t.read("embeddings"), "embedding", 8)
-    return cluster.merge_similar_topics(clustered, "topic_id", "embedding", tau=0.6)
+    return cluster.merge_similar_topics(t.read("embeddings").withColumnRenamed("label", "topic_id"), "topic_id", "embedding", tau=_TAU)
 
 
 @register("rerank_keywords")
@@ -89,13 +124,13 @@ def _(t):
 @register("topic_map_2d")
 def _(t):
     docs = t.read("embeddings").withColumn("topic_id", F.col("label").cast("bigint"))
-    return topic_map_2d(docs, "vec_id", "embedding").select("vec_id", "topic_id")
+    return topic_map_2d(docs, "vec_id", "embedding")
 
 
 @register("topic_centroids_2d", "SELECT CAST(label AS BIGINT) AS topic_id, count(*) AS points FROM embeddings GROUP BY 1 HAVING count(*) >= 5")
 def _(t):
     docs = t.read("embeddings").withColumn("topic_id", F.col("label").cast("bigint"))
-    points = topic_map_2d(docs, "vec_id", "embedding", n=None)
+    points = topic_map_2d(docs, "vec_id", "embedding")
     return topic_ops.topic_centroids_2d(points).select("topic_id", "points")
 
 

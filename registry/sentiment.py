@@ -37,7 +37,7 @@ _FLAT = "trim(replace(text, chr(10), ' '), concat(' ', chr(9), chr(13)))"
 @register("truncate_for_model", f"SELECT doc_id, {_FLAT} AS whole_text, substring({_FLAT}, 1, 512) AS model_text FROM documents")
 def _(t):
     text = F.col("text")
-    return t.documents.select("doc_id", fn.truncate_for_model(text, None).alias("whole_text"), fn.truncate_for_model(text).alias("model_text"))
+    return t.documents.select("doc_id", fn.truncate_for_model(text, None).alias("whole_text"), fn.truncate_for_model(text, 512).alias("model_text"))
 
 
 @register("neutral_threshold", "SELECT review_id, raw_label, score, sentiment FROM docs_scored", "docs_scored")

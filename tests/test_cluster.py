@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from patronvoice.operators import neighbours
 from patronvoice.operators.cluster import (
     apply_merge,
     cluster_density,
@@ -45,7 +46,7 @@ def test_components_match_union_find(spark):
 
 def test_blobs_are_found(spark):
     x, truth = _blobs()
-    got = cluster_density(_points(spark, x), "id", "vec", eps=1.5, min_samples=5, min_size=15, tables=12)
+    got = cluster_density(_points(spark, x), "id", "vec", eps=1.5, min_samples=5, min_size=15)
     found = {r["id"]: r["topic_id"] for r in got.collect()}
     for label in (0, 1, 2):
         assert len({found[i] for i in np.flatnonzero(truth == label)}) == 1
@@ -55,7 +56,7 @@ def test_blobs_are_found(spark):
 
 def test_small_clusters_become_noise(spark):
     x, truth = _blobs(per=10)
-    got = cluster_density(_points(spark, x), "id", "vec", eps=1.5, min_samples=5, min_size=15, tables=12)
+    got = cluster_density(_points(spark, x), "id", "vec", eps=1.5, min_samples=5, min_size=15)
     assert {r["topic_id"] for r in got.collect()} == {-1}
 
 
@@ -75,15 +76,95 @@ def test_links_are_true_links(spark):
                     if label[j] < 0:
                         label[j] = i
                         stack.append(j)
-    got = {r["id"]: r["component"] for r in density_components(_points(spark, x), "id", "vec", eps, min_samples, 10).collect()}
+    got = {r["id"]: r["component"] for r in density_components(_points(spark, x), "id", "vec", eps, min_samples).collect()}
     clusters = {}
     for i, c in got.items():
         if c is not None:
             clusters.setdefault(c, []).append(i)
             assert near[i][core].any()
-    assert clusters
-    for members in clusters.values():
-        assert len({label[i] for i in members if core[i]}) == 1
+    # all links are found, not only true ones
+    want = {}
+    for i in np.flatnonzero(core):
+        want.setdefault(label[i], set()).add(i)
+    assert sorted(sorted(i for i in c if core[i]) for c in clusters.values()) == sorted(map(sorted, want.values()))
+
+
+def _exact(x, eps, min_samples):
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
+    core = near.sum(1) >= min_samples
+    label = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            stack, label[i] = [i], i
+            while stack:
+                for j in np.flatnonzero(near[stack.pop()] & core):
+                    if label[j] < 0:
+                        label[j] = i
+                        stack.append(j)
+    for i in np.flatnonzero(~core):
+        label[i] = min(label[near[i] & core], default=-1)
+    return label
+
+
+@pytest.mark.parametrize("dims,spread,eps", [(2, 0.3, 0.2), (10, 0.05, 0.6), (10, 0.08, 0.6), (10, 0.12, 0.6), (50, 0.1, 1.2)])
+def test_equals_brute_force(spark, monkeypatch, dims, spread, eps):
+    """Also with many small cells and blocks, and a third of all points in one place."""
+    rng = np.random.default_rng(dims)
+    centres = rng.uniform(0, 3, (4, dims))
+    x = np.concatenate([c + rng.normal(0, spread, (100, dims)) for c in centres] + [centres[0] + rng.normal(0, spread / 9, (200, dims))])
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 40)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    got = density_components(_points(spark, x), "id", "vec", eps, 5).collect()
+    want = _exact(x, eps, 5)
+    assert [(-1 if r["component"] is None else r["component"]) for r in sorted(got)] == want.tolist()
+
+
+def test_ids_are_dense_and_independent_of_partitions(spark):
+    x = np.concatenate([np.full((3 + i % 5, 2), 10.0 * i) for i in range(40)])
+    runs = []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "8"):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = cluster_density(_points(spark, x, int(partitions)), "id", "vec", eps=0.5, min_samples=2, min_size=2)
+            runs.append({r["id"]: r["topic_id"] for r in got.collect()})
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive[0])
+        spark.conf.set("spark.sql.shuffle.partitions", adaptive[1])
+    assert runs[0] == runs[1] and set(runs[0].values()) == set(range(40))
+
+
+def test_odd_vectors(spark):
+    rows = [(1, None), (2, []), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    assert {r["id"]: r["component"] for r in density_components(df, "id", "vec", 0.2, 2).collect()} == {1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5}
+    means = {r["id"]: r["topic_id"] for r in cluster_kmeans(df, "vec", 2).collect()}
+    assert [means[i] for i in (1, 2, 3, 4)] == [-1] * 4 and means[5] >= 0
+    assert cluster_kmeans(df.limit(0), "vec", 2).count() == 0 and cluster_density(df.limit(0), "id", "vec", 0.2).count() == 0
+    centroids = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "topic_id long, vector array<double>")
+    for chunk in (4096, 1):
+        got = assign_topics(df.where("id <> 2 AND id <> 3"), "vec", centroids, chunk=chunk, group_rows=2)
+        assert {r["id"]: r["topic_id"] for r in got.collect()} == {1: None, 4: 7, 5: 7, 6: 7}
+    assert {r["topic_id"] for r in assign_topics(df, "vec", centroids.limit(0)).collect()} == {None}
+
+
+@pytest.mark.parametrize("dims", [10, 64])
+def test_all_pairs_of_similar_topics_merge(spark, dims):
+    rng = np.random.default_rng(dims)
+    rows, want = [], {}
+    for k in range(50):
+        a = rng.standard_normal(dims)
+        a /= np.linalg.norm(a)
+        b = rng.standard_normal(dims)
+        b -= (b @ a) * a
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b)).tolist())]
+    x = np.array([r[1] for r in rows])
+    label = _exact(x, np.sqrt(2 - 2 * 0.9), 1)
+    want = {i: int(c) for i, c in enumerate(label)}
+    merged = merge_similar_topics(spark.createDataFrame(rows, "topic_id long, vec array<double>"), "topic_id", "vec", tau=0.9)
+    got = {r["topic_id"]: r["merged"] for r in merged.collect()}
+    assert got == want and all(got[2 * k] == got[2 * k + 1] for k in range(50))
 
 
 def test_copies_and_partitioning(spark):
@@ -91,7 +172,7 @@ def test_copies_and_partitioning(spark):
     x = np.concatenate([x, np.repeat(x[:1], 200, axis=0)])  # more than half are copies of one point
     runs = []
     for parts in (1, 8):
-        df = cluster_density(_points(spark, x, parts), "id", "vec", eps=1.5, min_samples=5, min_size=15, tables=12)
+        df = cluster_density(_points(spark, x, parts), "id", "vec", eps=1.5, min_samples=5, min_size=15)
         rows = {r["id"]: r["topic_id"] for r in df.collect()}
         groups = {}
         for i, t in rows.items():

@@ -116,7 +116,7 @@ def test_facets_reach_the_scan(spark, tmp_path):
 
 def test_search(spark):
     reviews = synthesize_reviews(spark, 600)
-    hits = s.search_hits(reviews, "delivery.*late|late by")
+    hits = s.search_hits(reviews, "rider turned up|half an hour")
     assert {r["topic_label"] for r in hits.collect()} == {"Delivery & wait time"}
     stats = s.search_stats(hits).first()
     assert stats["results"] == hits.count() and stats["topics"] == 1
@@ -128,3 +128,13 @@ def test_search(spark):
     nothing = s.search_stats(s.search_hits(reviews, "zzz")).first()
     assert (nothing["results"], nothing["positive_pct"]) == (0, None)
     assert s.search_hits(reviews, "(", mode="literal").isEmpty()
+
+
+def test_histogram_takes_its_range_from_the_data(spark):
+    from patronvoice.operators.breakdowns import histogram
+
+    df = spark.createDataFrame([(-3.0,), (7.0,), (2.0,), (None,), (float("inf"),)], "v double")
+    got = {r["bin"]: (r["count"], r["bin_start"]) for r in histogram(df, "v", [], None, None, 5).collect()}
+    assert got == {0: (1, -3.0), 2: (1, 1.0), 4: (1, 5.0)}
+    assert [r["count"] for r in histogram(df.where("v = 2"), "v", [], None, None, 5).collect()] == [1]
+    assert histogram(df.limit(0), "v", [], None, None, 5).count() == 0

@@ -6,6 +6,8 @@ from patronvoice.operators.quantiles import (
     impute_group_median,
     quantiles,
     quartiles_iqr,
+    values_long,
+    weighted_quantiles,
     winsorize_iqr,
 )
 from pyspark.sql import functions as F
@@ -97,3 +99,13 @@ def test_partitioning_does_not_matter(spark):
     df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(10_000)) / 7).alias("v"), F.lit("g").alias("g"))
     got = {n: quantiles(df.repartition(n), ["v"], [0.1, 0.5], ["g"]).orderBy("prob").collect() for n in (1, 8)}
     assert got[1] == got[8]
+
+
+def test_infinities_and_nan(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in (-inf, 1.0, 2.0, inf, inf, float("nan"), None)] + [("b", inf), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r["g"], r["prob"]): r["quantile"] for r in weighted_quantiles(values_long(df, ["g"], ["v"]), ["g"], [0.0, 0.5, 1.0]).collect()}
+    assert got == {("a", 0.0): -inf, ("a", 0.5): 2.0, ("a", 1.0): inf, ("b", 0.0): inf, ("b", 0.5): inf, ("b", 1.0): inf}
+    filled = {r["v"] for r in impute_group_median(df.where("g = 'b'"), "v", "g").collect()}
+    assert filled == {inf}

@@ -23,7 +23,7 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+    assert len(QUERIES[name](spark, FOLDER).collect()) > 0  # a count would not compute the columns
 
 
 def test_entry(spark):

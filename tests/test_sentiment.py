@@ -94,3 +94,12 @@ def test_label_scorer(spark):
     df = spark.createDataFrame([("t", "POSITIVE", 0.74999)], "t string, l string, s double")
     row = score_sentiment(df, "t", LabelScorer("l", "s")).first()
     assert (row["sentiment"], row["confidence"], row["signed_score"]) == ("neutral", 0.75, 0.0)
+
+
+def test_training_without_two_classes_and_with_null_texts(spark):
+    df = spark.createDataFrame([("good", 1), (None, 0), ("bad", 0), ("fine", None)], "t string, label int")
+    two = train_scorer(df, "t", "label", features=64)
+    assert score_sentiment(df, "t", two).count() == 4
+    for rows, label, confidence in ((df.where("label = 0"), "NEGATIVE", 1.0), (df.limit(0), "POSITIVE", 0.5)):
+        got = train_scorer(rows, "t", "label")(df, "t").select("raw_label", "score").distinct().collect()
+        assert [(r["raw_label"], r["score"]) for r in got] == [(label, confidence)]

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators import topics as ops
+from patronvoice.functions import truncate_for_model
 from patronvoice.operators import vectors
 from patronvoice.plans.topics import TopicParams, complaint_topics, fit_topics, negative_entity_reviews, run_topics, topic_map_2d
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def planted(spark):
 
 @pytest.mark.parametrize("method", ["density", "kmeans"])
 def test_planted_topics_are_found(planted, method):
-    params = TopicParams(method=method, dims=2, eps=0.5, k=3, embed_dims=128, stop=terms_ops.stop_words(), tables=10, ngrams=(1, 1))
+    params = TopicParams(method=method, dims=2, eps=0.5, k=3, embed_dims=128, ngrams=(1, 1))
     entities, review_topics, topics = complaint_topics(planted, params)
     labels = {r["topic_label"]: r["frequency"] for r in topics.where("topic_id <> -1").collect()}
     assert labels == {"Delivery & wait time": 60, "Staff & service": 60, "Hygiene & cleanliness": 60}
@@ -159,6 +160,31 @@ def test_topic_map(spark):
     assert {r["topic_id"]: r["points"] for r in ops.topic_centroids_2d(points).collect()} == {0: 6, 1: 6}
 
 
+def test_nothing_is_cut_by_default(spark):
+    params = TopicParams()
+    assert params.max_features is None and params.stop is None and params.merge_tau is not None
+    text = spark.createDataFrame([("a" * 2000,)], "t string").select(truncate_for_model(F.col("t")).alias("t")).first()["t"]
+    assert len(text) == 2000
+    rows = spark.range(3100).select("id", (F.col("id") % 2).alias("topic_id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0), F.lit(2.0)).alias("vec"))
+    assert topic_map_2d(rows, "id", "vec").count() == 3100
+
+
+def test_default_job_labels_planted_themes(planted):
+    _, _, topics = complaint_topics(planted)
+    labels = {r["topic_label"]: r["frequency"] for r in topics.where("topic_id <> -1").collect()}
+    assert labels == {"Delivery & wait time": 60, "Staff & service": 60, "Hygiene & cleanliness": 60}
+
+
+def test_null_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, "good food"), (2, None), (3, ""), (4, "good soup")], "id long, t string")
+    got = {r["id"]: r["embedding"] for r in vectors.embed_texts(df, "t", 16).collect()}
+    assert not any(got[2]) and not any(got[3]) and any(got[1])
+    assert vectors.embed_texts(df.limit(0), "t", 16).count() == 0
+    some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, v array<double>")
+    assert {r["id"] for r in vectors.reduce_dimensions(some, "v", 1).where("reduced IS NULL").collect()} == {2}
+    assert vectors.reduce_dimensions(some.limit(0), "v", 1).count() == 0
+
+
 def test_encoder_plugin(spark):
     def factory():
         return lambda texts: [[len(t), 1.0] for t in texts]
