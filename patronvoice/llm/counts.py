@@ -218,12 +218,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer).count
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            tokens = np.array(count(texts), dtype=np.int64)
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), *new])
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                batch = whole.slice(at, 2048)
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                tokens = np.array(count(texts), dtype=np.int64)
+                sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+                columns = [batch.column(i) for i in range(len(keep))]
+                columns += [pa.array(sizes, pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in keep), *new])
 
     schema = T.StructType(list(keep)).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
     return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text_col)).mapInArrow(run, schema)

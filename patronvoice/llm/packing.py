@@ -155,11 +155,12 @@ def pack_documents(
         tokens: list[bytes] = []
         held = 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                ids += names[i : i + 256]
-                tokens += [t + end for t in encode(texts[i : i + 256])]
-                held += sum(map(len, tokens[-len(texts[i : i + 256]) :])) // 4
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                found = [t + end for t in encode(part.column(1).to_pylist())]
+                ids += part.column(0).to_pylist()
+                tokens += found
+                held += sum(map(len, found)) // 4
                 if held >= chunk_tokens:
                     yield from emit(ids, tokens, sequence)
                     sequence += held // capacity + capacity.bit_length()  # full bins and the tail

@@ -29,6 +29,7 @@ THRESHOLD = 0.3
 _BINS = 2048
 _SUMS = 16  # tasks that sum over the rows of the fit
 _CHUNK = 1 << 20  # bytes classified at once
+_ROWS = 512  # texts held as Python strings at once
 
 #: classes of bytes; a share of the text each
 _CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "shout", "bar", "symbol", "wide")
@@ -95,8 +96,10 @@ def document_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = pa.array(list(text_statistics(batch.column(place).to_pylist())), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, "_stats"])
+            for at in range(0, len(batch), _ROWS):
+                part = batch.slice(at, _ROWS)
+                stats = pa.array(list(text_statistics(part.column(place).to_pylist())), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, stats], names=[*batch.schema.names, "_stats"])
 
     return df.mapInArrow(run, schema)
 
@@ -244,8 +247,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """
     _, model = quality_model(docs, labels, text_col=text_col, **options)
     score = fresh("_score", docs)
-    scored = score_quality(document_statistics(docs, text_col), model, score)
-    return scored.where(F.col(score) >= threshold).drop(score)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # statistics and score in one worker
+        for batch in batches:
+            for at in range(0, len(batch), _ROWS):
+                part = batch.slice(at, _ROWS)
+                scores = model.score(text_statistics(part.column(place).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*batch.schema.names, score])
+
+    return docs.mapInArrow(run, schema).where(F.col(score) >= threshold).drop(score)
 
 
 @register("op1_rff_quality")

@@ -32,6 +32,7 @@ BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
 #: Buckets with more fingerprints are split by further bits, this many times at most.
 CROWDED, DEPTH = 64, 4
 _BATCH = 100_000  # shingles whose bits are summed at once
+_ROWS = 512  # texts held as Python strings at once
 
 
 def _hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -87,8 +88,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = fingerprint_values(batch.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
+            for at in range(0, len(batch), _ROWS):
+                part = batch.slice(at, _ROWS)
+                values = fingerprint_values(part.column(1).to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(run, "id bigint, fp bigint")
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
 
 #: Words kept per Python worker; the table starts anew beyond it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 
 class _Known(dict):

@@ -236,9 +236,8 @@ def write_token_files(
         for batch in batches:
             names = batch.column(0).fill_null(NULL_ID)
             low, shard = (np.searchsorted(cuts, names.to_numpy(zero_copy_only=False), side=s) for s in ("left", "right"))
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                found = [np.frombuffer(t + end, "<u4") for t in run(texts[i : i + 512])]
+            for i in range(0, len(batch), 512):
+                found = [np.frombuffer(t + end, "<u4") for t in run(batch.column(1).slice(i, 512).to_pylist())]
                 # two bytes an id on the way, where they hold it
                 short = [t.astype("<u2").tobytes() if t.max() < 1 << 16 else t.tobytes() for t in found]
                 for k, t in enumerate(found, i):
