@@ -330,9 +330,14 @@ def _(t):
     return b.sentiment_share_by_type(t.ent_s, k=4).withColumn("pct", r6("pct"))
 
 
-@register("score_rating_sample")
+@register(
+    "score_rating_sample",
+    "SELECT url, rate, " + rnd("avg_signed_score", 4) + " AS avg_signed_score, dominant_sentiment FROM ent_s "
+    "WHERE rate IS NOT NULL AND avg_signed_score IS NOT NULL AND dominant_sentiment IS NOT NULL ORDER BY md5(concat('42#', CAST(url AS VARCHAR))), url LIMIT 2000",
+    "ent_s",
+)
 def _(t):
-    return b.score_rating_sample(t.ent_s)
+    return b.score_rating_sample(t.ent_s).withColumn("avg_signed_score", fn.round_half_even(F.col("avg_signed_score"), 4))
 
 
 @register("drop_null_subset", "SELECT url, rate, approx_cost FROM ent WHERE rate IS NOT NULL AND approx_cost IS NOT NULL", "ent")
