@@ -125,9 +125,9 @@ def _drops_white_space(spec: dict) -> bool:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> TextEncoder:
     """One encoder per file and Python worker."""
-    return TextEncoder(path)
+    return TextEncoder(path, cache_words)
 
 
 def word_tokenizer() -> str:

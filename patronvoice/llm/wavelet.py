@@ -40,6 +40,8 @@ END_ID = 2
 NULL_ID = -(1 << 63)
 #: UTF-8 bytes of text per shard, about; a single document may exceed it.
 SHARD_BYTES = 16 << 20
+#: Words that a worker keeps while it encodes; nothing else in this job needs much memory.
+CACHE_WORDS = 600_000
 
 
 def build(doc_ids: np.ndarray, starts: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -57,7 +59,7 @@ def build(doc_ids: np.ndarray, starts: np.ndarray, tokens: np.ndarray) -> bytes:
         bit = (x >> (planes - 1 - plane) & 1).astype(bool)
         zeros.append(len(x) - int(np.count_nonzero(bit)))
         packed = np.packbits(bit, bitorder="little")
-        counts = np.add.reduceat(bit, np.arange(0, len(x), BLOCK_BITS), dtype=np.int64)
+        counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64)
         ones_before += (np.cumsum(counts) - counts).tolist()
         for i in range(per_plane):
             blocks.append(pack(packed[i * BLOCK_BITS // 8 : (i + 1) * BLOCK_BITS // 8].tobytes()))
@@ -232,18 +234,18 @@ def write_token_files(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(tokenizer).encode
+        run = encoder(tokenizer, CACHE_WORDS).encode
         for batch in batches:
             names = batch.column(0).fill_null(NULL_ID)
             low, shard = (np.searchsorted(cuts, names.to_numpy(zero_copy_only=False), side=s) for s in ("left", "right"))
             for i in range(0, len(batch), 512):
                 found = [np.frombuffer(t + end, "<u4") for t in run(batch.column(1).slice(i, 512).to_pylist())]
                 # two bytes an id on the way, where they hold it
-                short = [t.astype("<u2").tobytes() if t.max() < 1 << 16 else t.tobytes() for t in found]
+                wide = [bool(t.max() >= 1 << 16) for t in found]
+                short = [t.tobytes() if w else t.astype("<u2").tobytes() for t, w in zip(found, wide)]
                 for k, t in enumerate(found, i):
                     if shard[k] - low[k] > 1:  # an id with many rows has several shards
                         shard[k] = low[k] + 1 + zlib.crc32(t) % (shard[k] - low[k])
-                wide = [t.max() >= 1 << 16 for t in found]
                 yield pa.RecordBatch.from_arrays(
                     [names.slice(i, 512), pa.array(shard[i : i + 512], pa.int32()), pa.array(wide), pa.array(short, pa.binary())],
                     names=["doc", "shard", "wide", "ids"],
