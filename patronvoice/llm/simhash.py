@@ -266,14 +266,14 @@ def near_duplicates(
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
     """``docs`` with one row of each component: the one whose id is the component's smallest.
 
     Only ids travel until the rows to keep are known. Repeated rows of that id
-    count once. Rows whose id is null stay, each with its text, as nothing tells
+    count once. ``find`` gives each row its component. Rows whose id is null stay, each with its text, as nothing tells
     which of them another one stands for.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
+    found = find(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     rows = docs.join(kept, id_col, "left_semi").select(docs.columns)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

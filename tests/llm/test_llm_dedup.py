@@ -2,9 +2,10 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
-from patronvoice.llm import epsilon, simhash
+from patronvoice.llm import epsilon, simhash, similar
 from patronvoice.llm.common import components
 from xxhash import xxh64_intdigest
 
@@ -152,3 +153,39 @@ def test_distant_blocks_are_skipped(spark):
     df = spark.createDataFrame([(1, leaf, lo, hi) for _, leaf, lo, hi in heads], "label bigint, leaf bigint, lo array<double>, hi array<double>")
     got = {(r["a"], r["b"]) for r in epsilon.block_pairs(df, 0.6, 1, 40).collect()}
     assert got == {(i, j) for i in range(40) for j in range(i, 40) if j - i <= 1}
+
+
+def slow_similarity(x, y):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    a, b = shingles(x), shingles(y)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("sample", [{}, {"sample_rows": 10, "limit": 5}])
+def test_similar_texts_find_changed_copies(spark, sample):
+    rng = random.Random(17)
+    texts = [None, "", " \n", "one two", "One  two", "one two three", " ".join("same words again and again".split() * 9)]
+    for size in (12, 40, 90, 400):
+        for changed in (0.0, 0.01, 0.02, 0.04, 0.1):
+            base = [f"w{rng.randint(0, 900)}" for _ in range(size)]
+            for _ in range(4):
+                words = list(base)
+                at = rng.randrange(size)  # one run of changed words, or single ones
+                for i in range(round(changed * size)) if changed > 0.03 else ():
+                    words[(at + i) % size] = f"x{rng.randint(0, 900)}"
+                for i in rng.sample(range(size), round(changed * size)) if changed <= 0.03 else ():
+                    words[i] = f"x{rng.randint(0, 900)}"
+                texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if slow_similarity(texts[i], texts[j]) >= 0.8]
+    roots = classes(len(texts), want)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = similar.similar_texts(df, **sample)
+    assert [r["component_id"] for r in got.orderBy("doc_id").collect()] == roots
+    prints = [slow_fingerprint(t) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in want) > 10  # what the fingerprints' bound loses
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(roots)
+    assert similar.similar_texts(df.limit(0)).count() == 0
