@@ -6,8 +6,8 @@ varies by the sequence of child elements, content by the text of the node's own
 blocks. Both are measured by entropy over the pages: text that many pages repeat
 is unimportant, text that each page has for itself is important. A branch's
 importance is that of its content with a share of its presentation's, and a branch
-goes only if every node in it is unimportant; a second tree over all hosts stands
-beside the host's, and the lower importance counts.
+goes only if every node in it is unimportant; a second tree over all hosts speaks
+where too few of the host's own pages have the branch. Copies of a page count once.
 
 Presentation also speaks for itself: element names, roles, classes and ids that
 mark menus, notices, adverts, forms or comments make a branch unimportant, an
@@ -199,24 +199,32 @@ def _code(text: str) -> int:
 
 
 def tree_features(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
-    """(host, path, content, code, n) of every page: how often a node has a text or a sequence of children."""
+    """(host, page, whole, features) of every page: how often a node has a text or a sequence of children.
+
+    ``page`` is a digest of the blocks that no mark speaks against, or of all blocks
+    where there are none; ``whole`` is one of all blocks and styles.
+    """
+    kinds = pa.struct([("path", pa.string()), ("content", pa.bool_()), ("code", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(hosts), 256):
-                out: list[tuple] = []
-                for host, source in zip(hosts[i : i + 256], sources[i : i + 256]):
+            hosts, sources = batch.column(0), batch.column(1)
+            for i in range(0, len(batch), 256):
+                copies, wholes, features = [], [], []
+                for source in sources.slice(i, 256).to_pylist():
                     page = parse_page(source or "")
                     seen = Counter((path, True, _code(text)) for path, text, _, _ in page.blocks)
                     seen.update({(path, False, _code(style)): 1 for path, style in dict(page.styles).items()})
-                    out += [(host, *key, n) for key, n in seen.items()]
-                columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "path", "content", "code", "n"])
+                    own = [b[:2] for b in page.blocks if not b[2]] or [b[:2] for b in page.blocks]
+                    copies.append(_code(repr(own)))
+                    wholes.append(_code(repr(sorted(seen.items()))))
+                    features.append([{"path": p, "content": c, "code": k, "n": n} for (p, c, k), n in seen.items()])
+                columns = [hosts.slice(i, 256), pa.array(copies, pa.int64()), pa.array(wholes, pa.int64()), pa.array(features, pa.list_(kinds))]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "whole", "features"])
 
     rows = pages.select(F.col(host_col), F.col(html_col))
-    return rows.mapInArrow(run, "host string, path string, content boolean, code bigint, n bigint")
+    schema = "host string, page bigint, whole bigint, features array<struct<path:string,content:boolean,code:bigint,n:bigint>>"
+    return rows.mapInArrow(run, schema)
 
 
 def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -258,18 +266,33 @@ def _importance(counts: DataFrame, by: list[str]) -> DataFrame:
     return rated.drop("importance").join(most, by)
 
 
+def _counts(folded: DataFrame, by: list[str]) -> DataFrame:
+    n = F.col("f.n")
+    rows = folded.select(*[c for c in by if c == "host"], F.explode("features").alias("f"))
+    keys = [F.col("host") if c == "host" else F.col(f"f.{c}").alias(c) for c in [*by, "content", "code"]]
+    return rows.groupBy(*keys).agg(F.sum(n).alias("t"), F.sum(n * F.log(n)).alias("l"))
+
+
+def path_importance(features: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, path, importance) of the branches that at least ``min_pages`` pages of the host, else of all hosts, have.
+
+    Copies of a page count as one, in the host's tree and in that of all hosts, so that
+    a text is not taken for a template because its page is repeated.
+    """
+    one = F.min_by("features", "whole").alias("features")
+    folded = materialize(features.groupBy("host", "page").agg(one, F.min("whole").alias("whole")))
+    of_all = _importance(_counts(folded.groupBy("page").agg(one), ["path"]), ["path"])
+    of_host = _importance(_counts(folded, ["host", "path"]), ["host", "path"])
+    known = of_all.where(F.col("pages") >= min_pages).select("path", F.col("importance").alias("of_all"))
+    both = of_host.join(known, "path", "left")
+    value = F.when(F.col("pages") >= min_pages, F.col("importance")).otherwise(F.col("of_all"))
+    return both.select("host", "path", value.alias("importance")).where("importance IS NOT NULL")
+
+
 def unimportant_paths(features: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, paths) of the branches below the threshold in the host's tree or in that of all hosts."""
-    n = F.col("n")
-    counts = materialize(
-        features.groupBy("host", "path", "content", "code").agg(F.sum(n).alias("t"), F.sum(n * F.log(n)).alias("l"))
-    )
-    of_all = _importance(counts.groupBy("path", "content", "code").agg(F.sum("t").alias("t"), F.sum("l").alias("l")), ["path"])
-    of_host = _importance(counts, ["host", "path"])
-    low = lambda df: df.where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
-    everywhere = of_host.select("host", "path").join(low(of_all).select("path"), "path").select("host", "path")
-    found = low(of_host).select("host", "path").union(everywhere)
-    return found.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    """(host, paths) of the branches below the threshold."""
+    low = path_importance(features, min_pages).where(F.col("importance") < threshold)
+    return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
 
 
 def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
@@ -295,8 +318,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     """``pages`` with ``out_col``, the main text, in place of the html; one row per row.
 
     A null or empty page has an empty text. Pages without a host form a host of
-    their own. Repeated rows are pages of their own to the statistics. A column
-    already named ``out_col`` is replaced.
+    their own. Repeated pages count once to the statistics. A column already named ``out_col`` is replaced.
     """
     features = tree_features(pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), "host", "html")
     low = materialize(unimportant_paths(features, **limits))

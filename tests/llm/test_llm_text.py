@@ -251,5 +251,22 @@ def test_same_article_on_all_pages_is_kept(spark):
     assert len(got) == 30 and {r["text"] for r in got} == {"the same words"}
 
 
+def test_copies_of_a_page_do_not_make_its_text_a_template(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    page = lambda head, body: f"<body><h1>{head}</h1><div class=content><p>{body}</p></div><div class=end>same end</div></body>"
+    hot, rows, want = (words(2), words(20)), [], {}
+    for i in range(200):  # half of one host's pages are copies; another host has the same template
+        head, body = hot if i % 2 else (words(2), words(20))
+        rows.append((i, f"http://h.org/{i}", page(head, body)))
+        want[i] = f"{head} {body}"
+    for i in range(200, 220):
+        head, body = words(2), words(20)
+        rows.append((i, f"http://other.org/{i}", page(head, body)))
+        want[i] = f"{head} {body}"
+    got = sitetree.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
