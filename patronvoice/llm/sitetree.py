@@ -9,10 +9,11 @@ importance is that of its content with a share of its presentation's, and a bran
 goes only if every node in it is unimportant; a second tree over all hosts speaks
 where too few of the host's own pages have the branch. Copies of a page count once.
 
-Presentation also speaks for itself: element names, roles, classes and ids that
-mark menus, notices, adverts, forms or comments make a branch unimportant, an
-article or main element makes its text important, whatever the pages say. Pages
-lose the branches of low importance.
+Presentation also speaks for itself, as a prior that is added to a block's importance:
+element names and roles that mark menus, notices, adverts or forms take much,
+classes and ids with such a word take some, an article or main element adds some.
+Words in classes do not count on html, body and what holds an article or main
+element; beside such an element they count like names. Pages lose the blocks whose sum is low.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ from patronvoice.session import materialize
 THRESHOLD, MIN_PAGES = 0.6, 8
 #: Weight of the content below a node against the node's own presentation.
 CONTENT_WEIGHT = 0.9
+#: What marks add to the importance of a block, and the importance where no tree says anything.
+HINT = 0.2
+PRIOR, UNKNOWN = {"noise": -9.0, "hint": -HINT, "": 0.0, "main": 9.0}, 0.75
 _SALTS = 64
 
 _TOKEN = re.compile(
@@ -77,7 +81,7 @@ _ENDS = {
 _SCOPES = frozenset("ul ol dl table tbody thead tfoot body html article main section div nav aside header footer".split())
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """An open element; ``path`` names its place in the style tree."""
 
@@ -86,19 +90,21 @@ class Node:
     noise: bool
     main: bool
     inline: bool
+    hints: tuple[Node, ...] = ()  # the nodes around, and itself, whose class or id has a noise word
+    holds_main: bool = False
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """Blocks of text in page order as (path, text, noise, main), and (path, child names) of every element that is not inline."""
+    """Blocks of text in page order as (path, text, mark), and (path, child names) of every element that is not inline."""
 
-    blocks: list[tuple[str, str, bool, bool]] = field(default_factory=list)
+    blocks: list[tuple[str, str, str]] = field(default_factory=list)
     styles: list[tuple[str, str]] = field(default_factory=list)
 
 
 def _open(name: str, attrs: str, parent: Node | None) -> Node:
-    marks, noise, main = "", name in _NOISE_TAGS, name in ("article", "main")
+    marks, noise, hint, main = "", name in _NOISE_TAGS, False, name in ("article", "main")
     if attrs and "=" in attrs or "hidden" in attrs:
         got = {}
         for key, a, b, c in _ATTR.findall(attrs):
@@ -106,7 +112,7 @@ def _open(name: str, attrs: str, parent: Node | None) -> Node:
         names = f"{got.get('class', '')} {got.get('id', '')}"
         if names != " ":
             marks = "." + _DIGITS.sub("0", ".".join(names.split()))
-            noise |= any(p.lower() in _NOISE_WORDS for p in _PARTS.split(names))
+            hint = any(p.lower() in _NOISE_WORDS for p in _PARTS.split(names))
         role = got.get("role", "").lower()
         noise |= role in _NOISE_ROLES or "hidden" in got or "display:none" in got.get("style", "").replace(" ", "").lower()
         main |= role in ("main", "article")
@@ -114,13 +120,17 @@ def _open(name: str, attrs: str, parent: Node | None) -> Node:
     above = parent.path if parent else ""
     inside = bool(parent and parent.main)
     noise |= name == "header" and not inside
-    path = above if inline and not noise else f"{above}>{name}{marks}" if above else name + marks
-    return Node(name, path, noise or bool(parent and parent.noise), main or inside, inline)
+    hint &= not main and name not in ("html", "body")
+    path = above if inline and not noise and not hint else f"{above}>{name}{marks}" if above else name + marks
+    node = Node(name, path, noise or bool(parent and parent.noise), main or inside, inline)
+    node.hints = () if main else (*(parent.hints if parent else ()), *([node] if hint else ()))
+    node.holds_main = main
+    return node
 
 
 def parse_page(source: str) -> Page:
     """Blocks and styles of a page, however broken; references are decoded, white space is single spaces."""
-    page, held = Page(), []
+    page, held, found = Page(), [], []
     root = Node("", "", False, False, False)
     stack = [root]
 
@@ -130,10 +140,13 @@ def parse_page(source: str) -> Page:
             held.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append((top.path, text, top.noise, top.main))
+                found.append((text, top))
+
+    def own(node: Node) -> bool:
+        return node.noise or node in node.hints[-1:]
 
     def close() -> None:
-        flush() if not stack[-1].inline or stack[-1].noise else None
+        flush() if not stack[-1].inline or own(stack[-1]) else None
         node = stack.pop()
         if not node.inline:
             page.styles.append((node.path, " ".join(c for i, c in enumerate(node.children) if not i or node.children[i - 1] != c)))
@@ -184,12 +197,19 @@ def parse_page(source: str) -> Page:
         if name not in _INLINE:
             stack[-1].children.append(name)
         node = _open(name, token["attrs"] or token["attrs2"] or "", stack[-1])
-        if node.inline and node.noise and not stack[-1].noise:
+        if node.inline and own(node) and not stack[-1].noise:
             flush()
+        if node.holds_main:
+            for outer in stack:
+                outer.holds_main = True
         stack.append(node)
     while len(stack) > 1:
         close()
     flush()
+    for text, node in found:  # what holds the main element is not known before the end
+        hinted = any(not h.holds_main for h in node.hints)
+        aside = hinted and root.holds_main and not node.main  # the page says itself that its text is elsewhere
+        page.blocks.append((node.path, text, "noise" if node.noise or aside else "hint" if hinted else "main" if node.main else ""))
     return page
 
 
@@ -213,9 +233,9 @@ def tree_features(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
                 copies, wholes, features = [], [], []
                 for source in sources.slice(i, 256).to_pylist():
                     page = parse_page(source or "")
-                    seen = Counter((path, True, _code(text)) for path, text, _, _ in page.blocks)
+                    seen = Counter((path, True, _code(text)) for path, text, _ in page.blocks)
                     seen.update({(path, False, _code(style)): 1 for path, style in dict(page.styles).items()})
-                    own = [b[:2] for b in page.blocks if not b[2]] or [b[:2] for b in page.blocks]
+                    own = [b[:2] for b in page.blocks if b[2] in ("", "main")] or [b[:2] for b in page.blocks]
                     copies.append(_code(repr(own)))
                     wholes.append(_code(repr(sorted(seen.items()))))
                     features.append([{"path": p, "content": c, "code": k, "n": n} for (p, c, k), n in seen.items()])
@@ -289,29 +309,33 @@ def path_importance(features: DataFrame, min_pages: int = MIN_PAGES) -> DataFram
     return both.select("host", "path", value.alias("importance")).where("importance IS NOT NULL")
 
 
-def unimportant_paths(features: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, paths) of the branches below the threshold."""
-    low = path_importance(features, min_pages).where(F.col("importance") < threshold)
-    return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
+def telling_paths(features: DataFrame, **limits) -> DataFrame:
+    """(host, paths) with the branches whose importance can change what their mark alone would decide."""
+    rated = path_importance(features, **limits)
+    rated = rated.where((F.col("importance") < THRESHOLD) | (F.col("importance") >= THRESHOLD + HINT))
+    return rated.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("paths"))
 
 
-def main_text(source: str | None, low: frozenset[str] = frozenset()) -> str:
-    """The text of the page's important blocks, joined by single spaces.
+def is_important(path: str, mark: str, rated: dict[str, float]) -> bool:
+    """Whether a block stays: its branch's importance in the tree, shifted by what the marks say."""
+    value = rated.get(path)
+    while value is None and path:  # a branch that few pages have goes with the one around it
+        path = path.rpartition(">")[0]
+        value = rated.get(path)
+        value = value if value is not None and value < THRESHOLD else None
+    return (UNKNOWN if value is None else value) + PRIOR[mark] >= THRESHOLD
 
-    ``low`` are the paths of unimportant branches. A page that has nothing but
-    such branches, and no marks that speak for or against them, keeps them.
-    """
-    blocks = [b for b in parse_page(source or "").blocks if not b[2]]
-    kept = [text for path, text, _, main in blocks if main or not (low and _below(path, low))]
-    return " ".join(kept or [text for _, text, _, _ in blocks])
 
+def main_text(source: str | None, rated: dict[str, float] | None = None) -> str:
+    """The text of the page's important blocks, joined by single spaces.
 
-def _below(path: str, low: frozenset[str]) -> bool:
-    while path:
-        if path in low:
-            return True
-        path = path.rpartition(">")[0]
-    return False
+    ``rated`` has the importance of branches. A page without an important block
+    keeps those that no mark speaks against, or else those that only a class or id does.
+    """
+    blocks = parse_page(source or "").blocks
+    kept = [text for path, text, mark in blocks if is_important(path, mark, rated or {})]
+    kept = kept or [text for _, text, mark in blocks if mark in ("", "main")] or [text for _, text, mark in blocks if mark == "hint"]
+    return " ".join(kept)
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "text", **limits) -> DataFrame:
@@ -321,11 +345,11 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     their own. Repeated pages count once to the statistics. A column already named ``out_col`` is replaced.
     """
     features = tree_features(pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")), "host", "html")
-    low = materialize(unimportant_paths(features, **limits))
+    low = materialize(telling_paths(features, **limits))
     keep = other_columns(pages, html_col, out_col)
     host, body, paths = fresh("_host", pages), fresh("_html", pages), fresh("_paths", pages)
     slim = pages.select(url_host(F.col(url_col)).alias(host), *[F.col(f"`{f.name}`") for f in keep], F.col(html_col).alias(body))
-    hosts, size = low.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join("paths", ">")))).first()
+    hosts, size = low.agg(F.count(F.lit(1)), F.sum(F.length(F.array_join(F.map_keys("paths"), ">")) + 16 * F.size("paths"))).first()
     small = low.select(F.col("host").alias(host), F.col("paths").alias(paths))
     if (size or 0) + 64 * hosts <= BROADCAST_BYTES:
         joined = slim.join(F.broadcast(small), host, "left")
@@ -334,14 +358,14 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     schema = T.StructType([*keep, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, frozenset[str]] = {}
+        seen: dict[str, dict[str, float]] = {}
         for batch in batches:
             texts = []
             for name, source, low_paths in zip(*(batch.column(i).to_pylist() for i in (0, batch.num_columns - 2, batch.num_columns - 1))):
                 if name not in seen:
                     if len(seen) > 1000:
                         seen.clear()
-                    seen[name] = frozenset(low_paths or ())
+                    seen[name] = dict(low_paths or ())
                 texts.append(main_text(source, seen[name]))
             columns = [batch.column(i + 1) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(f.name for f in keep), out_col])

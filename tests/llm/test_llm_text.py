@@ -268,5 +268,25 @@ def test_copies_of_a_page_do_not_make_its_text_a_template(spark):
     assert {r["page_id"]: r["text"] for r in got.collect()} == want
 
 
+def test_words_in_classes_only_lower_importance(spark):
+    for page in (
+        "<body class='single has-sidebar'><p>kept</p></body>",
+        "<div id=page-nav-open><div class=x><article><p>kept</p></article></div></div>",
+        "<article class='post comments-open'><p>kept</p></article>",
+        "<div id=page-nav-open><p>kept</p></div>",
+        "<body class=has-sidebar><main><p>kept</p><div class=sidebar>no</div></main></body>",
+    ):
+        assert sitetree.main_text(page) == "kept"
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        want[i] = words(20)
+        rows.append((i, "http://h.org", f"<h1>{i} {words(1)}</h1><div class=has-sidebar><p>{want[i]}</p><p class=share>send it</p></div>"))
+    got = sitetree.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    for r in got.collect():
+        assert r["text"].endswith(want[r["page_id"]])
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
