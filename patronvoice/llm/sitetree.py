@@ -41,7 +41,7 @@ THRESHOLD, MIN_PAGES = 0.6, 8
 CONTENT_WEIGHT = 0.9
 #: What marks add to the importance of a block, and the importance where no tree says anything.
 HINT = 0.2
-PRIOR, UNKNOWN = {"noise": -9.0, "hint": -HINT, "": 0.0, "main": 9.0}, 0.75
+PRIOR, UNKNOWN = {"noise": -0.4, "hint": -HINT, "": 0.0, "main": 0.2}, 0.75
 _SALTS = 64
 
 _TOKEN = re.compile(

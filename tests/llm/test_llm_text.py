@@ -288,5 +288,11 @@ def test_words_in_classes_only_lower_importance(spark):
         assert r["text"].endswith(want[r["page_id"]])
 
 
+def test_repeated_text_in_main_goes(spark):
+    rows = [(i, "http://h.org", f"<main><div class=x>the same notice</div><p>text of {i}</p></main><nav>{i}</nav>") for i in range(40)]
+    got = sitetree.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert all(r["text"] == f"text of {r['page_id']}" for r in got.collect())
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
