@@ -31,6 +31,8 @@ END_ID = 2
 CLASSES = 16
 #: A worker packs this many tokens at a time (a longer document alone), which bounds its memory.
 CHUNK_TOKENS = 4_000_000
+#: Words that a worker keeps the ids of, about 150 bytes each.
+CACHE_WORDS = 1_200_000
 _SEQUENCE_BITS = 33  # sequences of one task
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -149,7 +151,7 @@ def pack_documents(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, CACHE_WORDS).encode
         sequence = TaskContext.get().partitionId() << _SEQUENCE_BITS
         ids: list[int | None] = []
         tokens: list[bytes] = []

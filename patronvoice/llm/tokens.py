@@ -8,6 +8,7 @@ import re
 import struct
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
 
-#: Words kept per Python worker; the table starts anew beyond it.
+#: Words kept per Python worker; beyond it the half that came first stays, which holds the frequent ones.
 CACHE_WORDS = 400_000
 
 
@@ -30,6 +31,12 @@ class _Known(dict):
         found = self[word] = self.ask(word)
         return found
 
+    def forget(self, keep: int) -> None:
+        """Only the ``keep`` entries that came first stay."""
+        first = list(islice(self.items(), keep))
+        self.clear()
+        self.update(first)
+
 
 class TextEncoder:
     """Encodes whole texts into little-endian unsigned 32-bit ids.
@@ -65,7 +72,7 @@ class TextEncoder:
         for text in texts:
             out.append(b"".join(map(self.known.__getitem__, _parts(text or ""))))
             if len(self.known) > self.cache_words:
-                self.known.clear()
+                self.known.forget(self.cache_words // 2)
         return out
 
     def _part(self, word: bytes) -> bytes:
