@@ -155,15 +155,19 @@ def test_distant_blocks_are_skipped(spark):
     assert got == {(i, j) for i in range(40) for j in range(i, 40) if j - i <= 1}
 
 
-def slow_similarity(x, y):
-    def shingles(text):
-        words = (text or "").lower().split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def word_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
 
-    a, b = shingles(x), shingles(y)
+def similarity(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def slow_similarity(x, y):
+    return similarity(word_shingles(x), word_shingles(y))
+
+
 @pytest.mark.parametrize("sample", [{}, {"sample_rows": 10, "limit": 5}])
 def test_similar_texts_find_changed_copies(spark, sample):
     rng = random.Random(17)
@@ -189,3 +193,35 @@ def test_similar_texts_find_changed_copies(spark, sample):
     assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in want) > 10  # what the fingerprints' bound loses
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(roots)
     assert similar.similar_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowded,sample", [(16, {"limit": 1}), (2048, {"limit": 1}), (2048, {})])
+def test_a_passage_in_half_of_all_texts(spark, monkeypatch, crowded, sample):
+    """Its shingles are crowded where the sample does not tell of them; nothing is lost and nothing else is linked."""
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    rng = random.Random(23)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for i in range(300):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(20, 160))]
+        texts.append(" ".join(own[:10] + [passage] * (i % 2) + own[10:]))
+    for i in range(0, 120, 3):
+        words = texts[i].split()
+        words[rng.randrange(len(words))] = "other"
+        texts.append(" ".join(words))
+    texts += [passage] * 20 + [passage + " end", "start " + passage]
+    sets = [word_shingles(t) for t in texts]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(sets[i], sets[j]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    got = similar.similar_texts(df, **sample).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == classes(len(texts), want)
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for size in (3, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for changed in (0, 1, size // 10, size):
+            b = np.unique(np.append(a[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)))
+            apart = sum(int(x).bit_count() for x in (similar.parity_bits(a) ^ similar.parity_bits(b)).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b))

@@ -5,10 +5,10 @@ import os
 import corpus_pipeline
 import oracle
 import pytest
-from patronvoice.llm import quality, simhash
+from patronvoice.llm import quality
 from patronvoice.llm.common import table
 from patronvoice.llm.queries import ORACLE, QUERIES
-from test_llm_dedup import slow_fingerprint
+from test_llm_dedup import similarity, word_shingles
 from test_llm_text import slow_contamination
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -45,16 +45,14 @@ def test_stages_against_brute_force(spark):
     want = [r for r in rows if scores[r["doc_id"]] >= quality.THRESHOLD]
     assert good.columns == columns and sorted(good.collect()) == sorted(want) and len(want) < len(rows)
 
-    prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in want}
-    kept = set()
-    for r in sorted(want):  # components over all pairs
-        kept.add(r["doc_id"])
-    root = {i: i for i in prints}
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= simhash.DISTANCE and root[a] != root[b]:
+    sets = {r["doc_id"]: word_shingles(r["text"]) for r in want}
+    root = {i: i for i in sets}
+    for a in sets:  # components over all pairs
+        for b in sets:
+            if a < b and similarity(sets[a], sets[b]) >= 0.8 and root[a] != root[b]:
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = {i: new if c == old else c for i, c in root.items()}
+    assert any(root[i] != i for i in root)
     single = [r for r in want if root[r["doc_id"]] == r["doc_id"]]
     apart = stages["near_duplicates"](spark, spark.createDataFrame(want, docs.schema), FOLDER)
     assert apart.columns == columns and sorted(apart.collect()) == sorted(single)
