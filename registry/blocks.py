@@ -12,7 +12,7 @@ from patronvoice.operators import topics as topic_ops
 from patronvoice.operators.quality import audit_record, audit_rows
 from patronvoice.sources.fixed import RECOMMENDATIONS, recommendations
 from registry.base import RAW, r6, register, rnd
-from registry.planning import _features
+from registry.planning import _features, advice_sql, whole_advice
 
 _TIER = "CASE WHEN {0} <= 0 OR {0} > 5 THEN NULL WHEN {0} <= 3 THEN 'low' WHEN {0} <= 3.5 THEN 'average' WHEN {0} <= 4 THEN 'good' WHEN {0} <= 5 THEN 'excellent' END"
 _STAR = "CASE WHEN {0} <= 1 OR {0} > 5 THEN NULL WHEN {0} <= 2 THEN '1-2 stars' WHEN {0} <= 3 THEN '2-3 stars' WHEN {0} <= 3.5 THEN '3-3.5 stars' WHEN {0} <= 4 THEN '3.5-4 stars' WHEN {0} <= 5 THEN '4-5 stars' END"
@@ -172,10 +172,9 @@ def _(t):
     return planning.rice_filter(_features(t), 2, "SMALL").select("feature", "sprint", "topic")
 
 
-@register("recommendation_filter", f"SELECT '{RECOMMENDATIONS[1][0]}' AS topic, frequency, 9 AS rows FROM topic_table WHERE topic_label = '{RECOMMENDATIONS[1][0]}'", "topic_table")
+@register("recommendation_filter", advice_sql(RECOMMENDATIONS[1][0]), "topic_table")
 def _(t):
-    got = planning.recommendations_by_topic(t.topic_table, recommendations(t.spark), RECOMMENDATIONS[1][0])
-    return got.groupBy("topic", "frequency").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    return whole_advice(planning.recommendations_by_topic(t.topic_table, recommendations(t.spark), RECOMMENDATIONS[1][0]))
 
 
 @register(

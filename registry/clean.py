@@ -396,13 +396,26 @@ def _(t):
     return clean_listings(t.raw).drop("reviews_list", "review_texts")
 
 
+_FILLED = ("online_order", "book_table", "cuisines", "rest_type", "location", "listed_type", "listed_city", "reviews_list", "dish_liked", "menu_item", "phone", "address")
+_WHOLE = (  # steps that touch every row that is left
+    "feature/cost_tier", "text/name", "text/location", "text/listed_type", "text/listed_city", "text/rest_type", "text/cuisines", "text/address",
+    "feature/rating_tier", "feature/primary_cuisine", "feature/popularity_score",
+)
+_UNCOUNTED = ("encode/online_order", "encode/book_table", "impute/approx_cost", "parse/reviews_list", "feature/has_reviews")  # have queries of their own
+
+
 @register(
     "cleaning_audit",
-    "SELECT * FROM (SELECT 'duplicates' AS step, 'all' AS \"column\", (SELECT count(*) FROM named) - (SELECT count(*) FROM uniq) AS rows_affected "
+    "SELECT * FROM (SELECT 'load' AS step, 'all' AS \"column\", (SELECT count(*) FROM named) AS rows_affected "
+    "UNION ALL SELECT 'column_names', 'all', 0 "
+    "UNION ALL SELECT 'duplicates', 'all_columns', 0 "
+    "UNION ALL SELECT 'duplicates', 'url', (SELECT count(*) FROM named) - (SELECT count(*) FROM uniq) "
+    "UNION ALL SELECT 'duplicates', 'all', (SELECT count(*) FROM named) - (SELECT count(*) FROM uniq) "
     "UNION ALL SELECT 'missing', 'name', count(*) FILTER (name IS NULL) FROM uniq "
     "UNION ALL SELECT 'missing', 'rate', count(*) FILTER (name IS NOT NULL AND rate IS NULL) FROM uniq "
-    "UNION ALL SELECT 'missing', 'phone', count(*) FILTER (name IS NOT NULL AND phone IS NULL) FROM uniq "
-    "UNION ALL SELECT 'parse', 'votes', count(votes) FROM filled "
+    + "".join(f"UNION ALL SELECT 'missing', '{c}', count(*) FILTER (name IS NOT NULL AND {c} IS NULL) FROM uniq " for c in _FILLED)
+    + "".join("UNION ALL SELECT '{}', '{}', count(*) FROM filled ".format(*w.split("/")) for w in _WHOLE)
+    + "UNION ALL SELECT 'parse', 'votes', count(votes) FROM filled "
     "UNION ALL SELECT 'parse', 'rate', count(rate) FROM filled "
     "UNION ALL SELECT 'outliers', 'votes', count(*) FILTER (votes < vlo OR votes > vhi) FROM filled, bounds "
     "UNION ALL SELECT 'outliers', 'approx_cost', count(*) FILTER (approx_cost < clo OR approx_cost > chi) FROM filled, bounds)",
@@ -411,19 +424,20 @@ def _(t):
 )
 def _(t):
     audit = cleaning_audit(t.raw, clean_listings(t.raw))
-    shown = ["duplicates/all", "missing/name", "missing/rate", "missing/phone", "parse/votes", "parse/rate", "outliers/votes", "outliers/approx_cost"]
-    return audit.where(F.concat_ws("/", "step", "column").isin(shown)).select("step", "column", "rows_affected")
+    return audit.where(~F.concat_ws("/", "step", "column").isin(*_UNCOUNTED)).select("step", "column", "rows_affected")
+
+
+_REPORTED = ("url", "name", "rest_type", "listed_city", "online_order", "rate", "approx_cost")
 
 
 @register(
     "cleaning_report",
-    "SELECT count(*) AS rows, CAST(26 AS INT) AS columns, count(*) - count(rate) AS null_rates FROM ent",
+    " UNION ALL ".join(f"SELECT count(*) AS rows, CAST({len(_REPORTED)} AS INT) AS columns, '{c}' AS \"column\", count(*) - count({c}) AS nulls FROM ent" for c in _REPORTED),
     "ent",
 )
 def _(t):
-    cleaned = t.ent.withColumns({f"x{i}": F.lit(i) for i in range(19)})
-    report = quality.cleaning_report(cleaned)
-    return report.select("final_shape.*", F.col("null_summary")["rate"].alias("null_rates"))
+    report = quality.cleaning_report(t.ent)
+    return report.select("final_shape.*", F.explode("final_columns").alias("column"), "null_summary").select("rows", "columns", "column", F.col("null_summary")[F.col("column")].alias("nulls"))
 
 
 @register("cleaning_summary")

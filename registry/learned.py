@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patronvoice.operators import cluster
+from patronvoice.operators import cluster, hierarchy
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators import topics as topic_ops
 from patronvoice.operators import vectors
@@ -14,7 +14,7 @@ from patronvoice.session import materialize
 from registry.base import r6, register
 from registry.topics import doc_entities
 
-_PARAMS = TopicParams(dims=5, eps=0.15, min_samples=3, min_size=8, embed_dims=64, ngrams=(1, 1), rerank=False)
+_PARAMS = TopicParams(dims=5, eps=0.15, min_samples=3, min_size=8, embed_dims=64)
 
 
 @register("score_sentiment")
@@ -39,14 +39,10 @@ def _(t):
     return got.select("vec_id", "reduced")
 
 
-_EPS, _MIN_SAMPLES, _MIN_SIZE = 0.5, 4, 3
-_PLANTED = {  # five groups of suppliers and, in each, points that are too thinly spread
-    "x": "(s_suppkey * 37 % 5) * 10e0 + (s_suppkey % 7) * 0.3e0",
-    "y": "(s_suppkey % 3) * 0.35e0 + CASE WHEN s_suppkey % 11 = 0 THEN s_suppkey * 3e0 ELSE 0e0 END",
-}
+_EPS, _MIN_SAMPLES, _MIN_SIZE = 1.0, 3, 4
 _DENSITY_SQL = f"""
-WITH RECURSIVE p AS (SELECT s_suppkey AS id, {_PLANTED["x"]} AS x, {_PLANTED["y"]} AS y FROM supplier),
-near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {_EPS}),
+WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON list_distance(a.v, b.v) <= {_EPS}),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {_MIN_SAMPLES}),
 link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
@@ -54,15 +50,19 @@ comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
 border AS (SELECT n.a AS id, min(k.c) AS c FROM near n JOIN comp k ON n.b = k.id GROUP BY n.a),
 every AS (SELECT p.id, coalesce(comp.c, border.c) AS c FROM p LEFT JOIN comp ON p.id = comp.id LEFT JOIN border ON p.id = border.id),
 ids AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS topic_id FROM every WHERE c IS NOT NULL GROUP BY c HAVING count(*) >= {_MIN_SIZE})
-SELECT every.id AS s_suppkey, coalesce(topic_id, -1) AS topic_id FROM every LEFT JOIN ids ON every.c = ids.c
+SELECT every.id AS vec_id, coalesce(topic_id, -1) AS topic_id FROM every LEFT JOIN ids ON every.c = ids.c
 """
 
 
 @register("cluster_density", _DENSITY_SQL)
 def _(t):
-    points = t.read("supplier").select("s_suppkey", F.expr(f"array({_PLANTED['x']}, {_PLANTED['y']})").alias("point"))
-    got = cluster.cluster_density(points, "s_suppkey", "point", _EPS, _MIN_SAMPLES, _MIN_SIZE)
-    return got.select("s_suppkey", "topic_id")
+    got = cluster.cluster_density(t.read("embeddings"), "vec_id", "embedding", _EPS, _MIN_SAMPLES, _MIN_SIZE)
+    return got.select("vec_id", "topic_id")
+
+
+@register("cluster_hierarchy")
+def _(t):
+    return hierarchy.cluster_hierarchy(t.read("embeddings"), "vec_id", "embedding").select("vec_id", "topic_id")
 
 
 @register("cluster_kmeans")
@@ -127,11 +127,15 @@ def _(t):
     return topic_map_2d(docs, "vec_id", "embedding")
 
 
-@register("topic_centroids_2d", "SELECT CAST(label AS BIGINT) AS topic_id, count(*) AS points FROM embeddings GROUP BY 1 HAVING count(*) >= 5")
+@register(
+    "topic_centroids_2d",
+    "SELECT CAST(label AS BIGINT) AS topic_id, round_even(avg(CAST(embedding[1] AS DOUBLE)) * 1000000e0, 0) / 1000000e0 AS x, "
+    "round_even(avg(CAST(embedding[2] AS DOUBLE)) * 1000000e0, 0) / 1000000e0 AS y, count(*) AS points FROM embeddings GROUP BY 1 HAVING count(*) >= 5",
+)
 def _(t):
-    docs = t.read("embeddings").withColumn("topic_id", F.col("label").cast("bigint"))
-    points = topic_map_2d(docs, "vec_id", "embedding")
-    return topic_ops.topic_centroids_2d(points).select("topic_id", "points")
+    vec = F.col("embedding").cast("array<double>")
+    points = t.read("embeddings").select(F.col("label").cast("bigint").alias("topic_id"), vec[0].alias("x"), vec[1].alias("y"))
+    return topic_ops.topic_centroids_2d(points).select("topic_id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "points")
 
 
 @register("fit_topics")

@@ -67,14 +67,30 @@ def _(t):
     return ops.rice_effort_tradeoff(ops.add_rice(_features(t)))
 
 
-_TOPICS = ", ".join(f"('{r[0]}')" for r in RECOMMENDATIONS)
+def _quoted(*texts: str) -> str:
+    return ", ".join("'" + t.format(platform="the platform").replace("'", "''") + "'" for t in texts)
 
 
-@register(
-    "recommendations_by_topic",
-    f"SELECT r.topic, m.frequency, {rnd('m.pct', 2)} AS pct, 9 AS rows FROM (VALUES {_TOPICS}) r(topic) JOIN topic_table m ON m.topic_label = r.topic",
-    "topic_table",
-)
+def advice_sql(*topics: str) -> str:
+    """The advice on the topics, one row per solution and impact, with the measured frequency of each topic."""
+    rows = [
+        f"({_quoted(topic, ' | '.join(pain), ' | '.join(root), s[0], s[1], s[2], metric, expected)})"
+        for topic, _, _, pain, root, solutions, impact in RECOMMENDATIONS
+        if topic in topics
+        for s in solutions
+        for metric, expected in impact.items()
+    ]
+    return (
+        f"SELECT r.*, m.frequency, {rnd('m.pct', 2)} AS pct FROM (VALUES {', '.join(rows)}) r(topic, pain, root, title, \"desc\", tag, metric, expected) "
+        "JOIN topic_table m ON m.topic_label = r.topic"
+    )
+
+
+def whole_advice(advice):
+    texts = [F.array_join(c, " | ").alias(c) for c in ("pain", "root")]
+    return advice.select("topic", *texts, "title", "desc", "tag", "metric", "expected", "frequency", round_half_even(F.col("pct"), 2).alias("pct"))
+
+
+@register("recommendations_by_topic", advice_sql(*[r[0] for r in RECOMMENDATIONS]), "topic_table")
 def _(t):
-    advice = ops.recommendations_by_topic(t.topic_table, recommendations(t.spark))
-    return advice.groupBy("topic", "frequency", round_half_even(F.col("pct"), 2).alias("pct")).agg(F.count(F.lit(1)).cast("int").alias("rows"))
+    return whole_advice(ops.recommendations_by_topic(t.topic_table, recommendations(t.spark)))
