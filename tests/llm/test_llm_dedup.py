@@ -225,3 +225,5 @@ def test_parity_bits_bound_the_difference():
             b = np.unique(np.append(a[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)))
             apart = sum(int(x).bit_count() for x in (similar.parity_bits(a) ^ similar.parity_bits(b)).view(np.uint64))
             assert apart <= len(np.setxor1d(a, b))
+    wide, half = similar.parity_bits(a, 16), similar.parity_bits(a, 8)
+    assert (wide[:8] ^ wide[8:] == half).all()
