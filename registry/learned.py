@@ -39,7 +39,7 @@ def _(t):
     return got.select("vec_id", "reduced")
 
 
-_EPS, _MIN_SAMPLES, _MIN_SIZE = 1.0, 3, 4
+_EPS, _MIN_SAMPLES, _MIN_SIZE = 1.1, 3, 3
 _DENSITY_SQL = f"""
 WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON list_distance(a.v, b.v) <= {_EPS}),
