@@ -12,6 +12,7 @@ from patronvoice.functions import clean_review_text, has_min_tokens
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators.cluster import apply_merge, cluster_density, cluster_kmeans, merge_similar_topics
 from patronvoice.operators.joins import lookup_join
+from patronvoice.operators.latent import fit_latent
 from patronvoice.operators.sentiment import explode_reviews
 from patronvoice.operators.topics import (
     label_topics,
@@ -38,7 +39,8 @@ class TopicParams:
     min_size: int = 15
     k: int = 8
     merge_tau: float | None = 0.9  # None: topics are not merged
-    embed_dims: int = 256
+    embedding: str = "latent"  # or "hashed", which is cheaper and wants 256 and more dimensions
+    embed_dims: int = 64
     ngrams: tuple[int, int] = (1, 2)
     min_df: int = 5
     max_df: float = 0.90
@@ -109,7 +111,13 @@ def fit_topics(
     if vec_col:
         vectors = reviews.select(id_col, F.col(vec_col).alias("embedding"))
     else:
-        embedded = embed_texts(reviews.select(id_col, text_col), text_col, p.embed_dims, stop=p.stop)
+        texts = reviews.select(id_col, text_col)
+        if p.embedding == "latent":
+            embedded = fit_latent(texts, text_col, p.embed_dims, p.stop).transform(texts, text_col)
+        elif p.embedding == "hashed":
+            embedded = embed_texts(texts, text_col, p.embed_dims, stop=p.stop)
+        else:
+            raise ValueError(f"embedding must be latent or hashed, not {p.embedding!r}")
         vectors = materialize(embedded.select(id_col, "embedding"))
     reduced = reduce_dimensions(vectors, "embedding", p.dims).drop("embedding")
     if p.method == "kmeans":

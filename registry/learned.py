@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patronvoice.operators import cluster, hierarchy
+from patronvoice.operators import cluster, hierarchy, latent
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators import topics as topic_ops
 from patronvoice.operators import vectors
@@ -33,6 +33,12 @@ def _(t):
     return got.select("doc_id", "embedding")
 
 
+@register("latent_vectors")
+def _(t):
+    texts = t.documents.select("doc_id", "text")
+    return latent.fit_latent(texts, "text", 64).transform(texts, "text").select("doc_id", "embedding")
+
+
 @register("reduce_dimensions")
 def _(t):
     got = vectors.reduce_dimensions(t.read("embeddings"), "embedding", 10)
