@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from patronvoice import functions as fn
@@ -9,7 +11,9 @@ from patronvoice.operators import breakdowns as b
 from patronvoice.operators import search as s
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators import topics as ops
+from patronvoice.operators.search_index import build_search_index
 from patronvoice.plans.topics import min_token_filter, negative_entity_reviews
+from patronvoice.session import ensure_checkpoint_dir
 from patronvoice.sources.fixed import TAXONOMY
 from registry.base import CTES, SPACES, r6, register, rnd
 
@@ -362,6 +366,14 @@ def _(t):
     return s.search_hits(_searchable(t), _PATTERN, sentiment="negative").select("review_id", "topic_label")
 
 
+@register("search_index", "SELECT review_id, topic_label, sentiment FROM found", "found")
+def _(t):
+    found = _searchable(t)
+    ensure_checkpoint_dir(found.sparkSession)
+    folder = f"{found.sparkSession.sparkContext.getCheckpointDir()}/search/{uuid.uuid4().hex}"
+    return build_search_index(found, folder, rows_per_file=500).hits(_PATTERN).select("review_id", "topic_label", "sentiment")
+
+
 @register(
     "search_reviews",
     f"SELECT review_id, sentiment, regexp_replace(review_text, '(?i)({_PATTERN})', '<mark>\\1</mark>', 'g') AS highlighted FROM found ORDER BY review_id LIMIT 50",
