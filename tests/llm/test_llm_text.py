@@ -43,6 +43,40 @@ def test_quality_held_out(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if r["score"] >= 0.3}
 
 
+def test_quality_equals_a_plain_fit(spark):
+    """All rows in one array: ridge by least squares, the isotonic shares by their min-max formula."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.random() < 0.4)) for i in range(500)]
+    good = {i: int((t[-1] == ".") != (rng.random() < 0.15)) for i, t in rows}
+    labels = spark.createDataFrame(sorted(good.items()), "doc_id bigint, quality int")
+    df = docs(spark, rows).repartition(7)
+    stats, model = quality.quality_model(df, labels)
+
+    seen = [i for i in good if zlib.crc32(str(i).encode()) % 5]
+    x = quality.text_statistics([t for _, t in rows])
+    y = np.array([good[i] for i in seen], dtype=float)
+    mean, spread = x[seen].mean(axis=0), x[seen].std(axis=0)
+    draw = np.random.default_rng(quality.SEED)
+    slopes = draw.standard_normal((x.shape[1], quality.FEATURES)) / (quality.WIDTH * np.sqrt(x.shape[1]))
+    shifts = draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.clip((x - mean) / np.where(spread < 1e-9, 1.0, spread), -8, 8)
+    phi = np.c_[np.sqrt(2 / quality.FEATURES) * np.cos(z @ slopes + shifts), np.ones(len(z))]
+    bend = np.sqrt(len(seen) * quality.RIDGE / quality.FEATURES) * np.eye(quality.FEATURES + 1)[:-1]
+    weights = np.linalg.lstsq(np.r_[phi[seen], bend], np.r_[y, np.zeros(len(bend))], rcond=None)[0]
+    raw = phi @ weights
+    assert np.allclose(model.raw(x), raw, atol=1e-4)
+
+    bins = np.clip(((raw[seen] + 0.5) / 2 * quality._BINS).astype(int), 0, quality._BINS - 1)
+    at = np.unique(bins)
+    n, hits = (np.array([w[bins == b].sum() for b in at]) for w in (np.ones(len(y)), y))
+    share = lambda i, j: hits[i : j + 1].sum() / n[i : j + 1].sum()
+    shares = [max(min(share(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    want = np.interp(raw, [raw[seen][bins == b].mean() for b in at], shares)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(stats, model).collect()}
+    # a row whose raw score lies on the edge of a bin may fall to either side
+    assert np.mean(np.abs(np.array([got[i] for i, _ in rows]) - want) < 0.01) > 0.99
+
+
 def test_quality_does_not_see_held_out_labels(spark):
     rng = random.Random(2)
     df = docs(spark, [(i, prose(rng, i % 2)) for i in range(200)])
