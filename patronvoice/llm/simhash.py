@@ -192,58 +192,68 @@ def _far(a: str, b: str) -> Column:
 
 @lru_cache(maxsize=None)
 def _finer(mask: int, parts: int) -> tuple[int, ...]:
-    """The mask joined with each of ``parts`` groups of the bits that it leaves."""
+    """The bits that ``mask`` leaves, in ``parts`` groups."""
     left = [b for b in range(BITS) if not mask >> b & 1]
-    return tuple(mask | _mask(left[k::parts]) for k in range(parts) if left[k::parts])
+    return tuple(_mask(left[k::parts]) for k in range(parts) if left[k::parts])
+
+
+def _keys(mask: int, threshold: int) -> list[Column]:
+    """A fingerprint's place in a group's index, and the places within ``threshold`` bits of it to look up."""
+    at = F.col("fp").bitwiseAND(_signed(mask))
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    flips = [_mask(c) for k in range(threshold + 1) for c in combinations(bits, k)]
+    return [
+        F.struct(F.lit(_signed(mask)).cast("bigint").alias("mask"), at.bitwiseXOR(_signed(f)).alias("v"), F.lit(f != 0).alias("probe"))
+        for f in flips
+    ]
 
 
 def links(prints: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED, depth: int = DEPTH) -> DataFrame:
-    """Distinct pairs (a < b) of the distinct fingerprints ``fp`` within ``distance`` bits."""
+    """Distinct pairs (a < b) of the distinct fingerprints ``fp`` within ``distance`` bits.
+
+    A bucket holds the fingerprints whose bits under ``mask`` are ``v`` and, where
+    the group is probed wider, those that look it up (``probe``). What two of them
+    differ in outside the mask is at most ``distance``, so a crowded bucket is
+    split by groups of the bits it leaves, whichever side a row is on. A mask that
+    leaves no more than ``distance`` bits is not split: its index holds few values.
+    """
     groups = plan(prints, distance)
-    near = lambda: (F.col("a") < F.col("b")) & (_far("a", "b") <= distance)
+    keys = F.array(*[k for mask, t in groups for k in _keys(mask, t)])
+    keyed = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.v", "k.probe")
+    masks = [mask for mask, _ in groups]
+    near = (F.col("a") < F.col("b")) & (_far("a", "b") <= distance)
     found: list[DataFrame] = []
-
-    for mask, t in groups:
-        if t > 0:  # probe the index with all values of the ball
-            flips = [_mask(c) for k in range(t + 1) for c in combinations([b for b in range(BITS) if mask >> b & 1], k)]
-            value = F.col("fp").bitwiseAND(_signed(mask))
-            probe = prints.select(F.col("fp").alias("x"), F.explode(F.array(*[value.bitwiseXOR(_signed(f)) for f in flips])).alias("v"))
-            index = prints.select(F.col("fp").alias("y"), value.alias("v"))
-            pairs = probe.join(index, "v").where((F.col("x") != F.col("y")) & (_far("x", "y") <= distance))
-            found.append(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-
-    masks = [m for m, t in groups if t == 0]
-    keyed = prints.select("fp", F.explode(_keys(masks)).alias("k")).select("fp", "k.mask", "k.v") if masks else None
     for level in range(depth + 1):
-        if not masks:
-            break
         keyed = materialize(keyed)
-        sizes = keyed.groupBy("mask", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        many = materialize(sizes.where(F.col("n") > crowded)) if level < depth else None
-        few = sizes.where(F.col("n") <= crowded) if level < depth else sizes
+        masks = [m for m in masks if BITS - m.bit_count() > distance]
+        sizes = keyed.groupBy("mask", "v").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("probe")).alias("here")).where("n > 1 AND here > 0")
+        full = F.col("mask").isin([_signed(m) for m in masks]) & (F.col("n") * F.col("here") > crowded * crowded)
+        many = materialize(sizes.where(full)) if level < depth else None
+        few = sizes.where(~full) if level < depth else sizes
         rows = keyed.join(few.select("mask", "v"), ["mask", "v"])
-        pairs = rows.withColumnRenamed("fp", "a").join(rows.withColumnRenamed("fp", "b"), ["mask", "v"]).where(near())
+        # each pair looks the other up from both ends, so one of them is enough
+        here = rows.where("NOT probe").select("mask", "v", F.col("fp").alias("b"))
+        pairs = rows.withColumnRenamed("fp", "a").join(here, ["mask", "v"]).where(near)
         found.append(pairs.select("a", "b"))
         if many is None or many.isEmpty():
             break
-        keyed = keyed.join(many.select("mask", "v"), ["mask", "v"])
         finer = {m: _finer(m, distance + 1) for m in masks}
         cases = F.lit(None).cast("array<struct<mask:bigint,v:bigint>>")
-        for m, new in finer.items():
-            cases = F.when(F.col("mask") == _signed(m), _keys(new)).otherwise(cases)
-        keyed = keyed.select("fp", F.explode(cases).alias("k")).select("fp", "k.mask", "k.v").distinct()
-        masks = sorted({m for new in finer.values() for m in new})
+        for m, parts in finer.items():
+            split = [
+                F.struct(F.lit(_signed(m | p)).cast("bigint").alias("mask"), F.col("v").bitwiseOR(F.col("fp").bitwiseAND(_signed(p))).alias("v"))
+                for p in parts
+            ]
+            cases = F.when(F.col("mask") == _signed(m), F.array(*split)).otherwise(cases)
+        keyed = keyed.join(many.select("mask", "v"), ["mask", "v"]).select("fp", "probe", F.explode(cases).alias("k"))
+        keyed = keyed.select("fp", "k.mask", "k.v", "probe").distinct()
+        masks = sorted({m | p for m, parts in finer.items() for p in parts})
     out = found[0]
     for other in found[1:]:
         out = out.union(other)
     return out.distinct()
 
 
-def _keys(masks: Sequence[int]) -> Column:
-    each = [F.struct(F.lit(_signed(m)).cast("bigint").alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("v")) for m in masks]
-    return F.array(*each)
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE
 ) -> DataFrame:

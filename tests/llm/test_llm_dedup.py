@@ -84,11 +84,30 @@ def test_any_allocation_is_complete(spark, monkeypatch, thresholds):
     monkeypatch.setattr(simhash, "plan", lambda *_: groups)
     values = planted(9, groups=5)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = simhash.links(spark.createDataFrame([(v, 0) for v in signed], "fp bigint, first bigint"))
+    got = simhash.links(spark.createDataFrame([(v, 0) for v in signed], "fp bigint, first bigint"), crowded=4)
     want = {tuple(sorted((a, b))) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
     assert {(r["a"], r["b"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("thresholds", [[0, 1], [1, 0]])
+def test_a_hot_group_is_split_where_it_is_probed(spark, monkeypatch, thresholds):
+    low, high = (1 << 32) - 1, (1 << 64) - (1 << 32)
+    groups = list(zip([low, high], thresholds))
+    monkeypatch.setattr(simhash, "plan", lambda *_: groups)
+    rng = np.random.default_rng(4)
+    # 10,000 prints in one bucket of the low bits, some of them moved by one bit there, and near ones among them
+    base = rng.integers(0, 1 << 32, 9_000, dtype=np.uint64) << np.uint64(32) | np.uint64(12345)
+    moved = base[:1_000] ^ (np.uint64(1) << rng.integers(0, 64, 1_000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1_000, dtype=np.uint64))
+    prints = np.unique(np.concatenate([base, moved]))
+    signed = prints.view(np.int64)
+    want = set()
+    for at in range(0, len(prints), 500):
+        close = np.bitwise_count(prints[at : at + 500, None] ^ prints[None, :]) <= simhash.DISTANCE
+        want |= {tuple(sorted((int(signed[at + i]), int(signed[j])))) for i, j in np.argwhere(close) if at + i != j}
+    got = simhash.links(spark.createDataFrame([(int(v), 0) for v in signed], "fp bigint, first bigint"))
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) >= 950
+
+
 def test_allocation_is_the_cheapest():
     assert simhash.allocate([[9, 20, 90], [9, 20, 90], [9, 20, 90]], 3) == [0, 0, 0]
     assert simhash.allocate([[1, 2, 3], [50, 60, 90], [70, 80, 90]], 3) == [2, -1, -1]
