@@ -4,7 +4,9 @@ All windows of the benchmark form a hash table, broadcast when its measured size
 allows; each document's windows are hashed and looked up in it, and a hit counts
 only if the words agree. Everything runs in DataFrame functions. A document's
 hits are gathered per row of the input, so that a group is never longer than its
-document, and a passage that many documents share is just many single hits.
+document, and a passage that many documents share is just many single hits. A
+table too large for that is joined with the codes of the windows of each distinct
+text: no words travel with a window, and the hits of a text meet its words once.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronvoice.llm.common import broadcast_if_small, lower_ascii, register, table
+from patronvoice.llm.common import BROADCAST_BYTES, lower_ascii, register, table
+from patronvoice.operators.joins import lookup_join
 from patronvoice.session import materialize
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PIECE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_ROW_BYTES = 400  # of one window in the hash table: ten words, their items, the table's own needs
+_ROW_BYTES = 120  # of one window in the hash table beside its texts: code, length, array, the table's own needs
+_SALTS = 32  # over which the rows of a passage or of a text that many documents share are spread
 _MARKS = 256  # marks that carry documents without hits through the lookup, spread over as many keys
 
 
@@ -72,34 +76,38 @@ def contamination(
     that has fewer. ``spans`` are (first word from 1, length), sorted; ``items``
     are sorted as strings. Null texts have no words and no hits; a null item id
     counts as the empty string, repeated item ids as one item; repeated rows of
-    ``docs`` give one row each; an empty benchmark hits nothing. Only the named
-    columns are looked at.
+    ``docs`` give one row each; an empty benchmark hits nothing. Very long texts
+    are looked up whole. Only the named columns are looked at.
     """
-    table_ = materialize(benchmark_windows(benchmark, item_col, item_text_col, window))
-    # at most ``window`` lengths and one count come back
-    lengths = {r["length"]: r["n"] for r in table_.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = materialize(benchmark_windows(benchmark, item_col, item_text_col, window))
+    held = F.octet_length("win") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i) + 16) + _ROW_BYTES
+    # at most ``window`` lengths come back
+    sizes = known.groupBy("length").agg(F.sum(held.cast("bigint")).alias("bytes")).collect()
+    lengths = sorted(r["length"] for r in sizes)
+    find = _by_broadcast if sum(r["bytes"] for r in sizes) <= BROADCAST_BYTES else _by_exchange
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.sha2(F.col(text_col), 256).alias("text_sha256"))
+    return find(rows, known, lengths).select(F.col("id").alias(id_col), "text_sha256", "n_words", "spans", "items")
+
+
+def _by_broadcast(docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, text_sha256, n_words, spans, items) of each row, its windows looked up where they are."""
     marks = docs.sparkSession.range(_MARKS).select(
         F.xxhash64(F.lit("mark"), "id").alias("code"),
         F.lit(0).alias("length"),
         F.lit("").alias("win"),
         F.array().cast("array<string>").alias("items"),
     )
-    known = broadcast_if_small(table_.unionByName(marks), sum(lengths.values()) + _MARKS, _ROW_BYTES)
-
     rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.monotonically_increasing_id().alias("row"),
-        F.sha2(F.col(text_col), 256).alias("text_sha256"),
-        words_of(F.col(text_col)).alias("words"),
+        "id", F.monotonically_increasing_id().alias("row"), "text_sha256", words_of(F.col("text")).alias("words")
     ).withColumn("codes", _codes(F.col("words")))
     mark = F.struct(
         F.lit(0).alias("at"), F.lit(0).alias("length"), F.xxhash64(F.lit("mark"), F.pmod("row", F.lit(_MARKS))).alias("code")
     )
-    parts = [_windows(F.col("codes"), F.col("words"), n, short=False) for n in sorted(lengths)]
+    parts = [_windows(F.col("codes"), F.col("words"), n, short=False) for n in lengths]
     looked = rows.select(
         "id", "row", "text_sha256", "words", F.size("words").cast("bigint").alias("n_words"), F.explode(F.concat(F.array(mark), *parts)).alias("w")
     ).select("*", F.col("w.code").alias("code"), F.col("w.length").alias("length"))
-    hits = looked.join(known, ["code", "length"]).where(
+    hits = looked.join(F.broadcast(known.unionByName(marks)), ["code", "length"]).where(
         (F.col("length") == 0) | (_text(F.col("words"), F.col("w.at"), F.col("length")) == F.col("win"))
     )
     span = F.when(F.col("length") > 0, F.struct(F.col("w.at").alias("at"), F.col("length").alias("length")))
@@ -110,7 +118,50 @@ def contamination(
             F.sort_array(F.collect_set("span")).alias("spans"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
-        .select(F.col("id").alias(id_col), "text_sha256", "n_words", "spans", "items")
+    )
+
+
+def _by_exchange(docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same through joins on codes; what a row gets depends on its text alone, so each text is looked up once.
+
+    A known window travels as its code until a text is known to hold that code;
+    then the windows and the words of a text meet in one row, no longer than the
+    text and its hits, and are compared.
+    """
+    worded = docs.where(F.col("text").isNotNull()).groupBy("text_sha256").agg(words_of(F.first("text")).alias("words"))
+    texts = materialize(worded.where(F.size("words") > 0))
+    codes = texts.withColumn("codes", _codes(F.col("words")))
+    parts = [_windows(F.col("codes"), F.col("words"), n, short=False) for n in lengths]
+    looked = codes.select("text_sha256", F.explode(F.concat(*parts)).alias("w")).select("text_sha256", "w.*")
+    # several windows of one code are one row, so that the join stays a lookup
+    by_code = known.groupBy("code", "length").agg(F.collect_list(F.struct("win", "items")).alias("wins"))
+    met = lookup_join(looked, by_code, ["code", "length"], _SALTS).where(F.col("wins").isNotNull())
+    met = met.groupBy("text_sha256").agg(F.collect_list(F.struct("at", "length", "wins")).alias("met"))
+    both = texts.join(met, "text_sha256", "left")
+    same = lambda m: F.filter(m["wins"], lambda w: w["win"] == _text(F.col("words"), m["at"], m["length"]))
+    true = F.filter(
+        F.transform(
+            F.coalesce("met", F.array().cast(met.schema["met"].dataType)),
+            lambda m: F.struct(m["at"].alias("at"), m["length"].alias("length"), same(m).alias("wins")),
+        ),
+        lambda m: F.size(m["wins"]) > 0,
+    )
+    found = both.select("text_sha256", F.size("words").cast("bigint").alias("n_words"), true.alias("true"))
+    items = F.flatten(F.transform("true", lambda m: F.flatten(F.transform(m["wins"], lambda w: w["items"]))))
+    spans = F.transform("true", lambda m: F.struct(m["at"].alias("at"), m["length"].alias("length")))
+    found = found.select(
+        "text_sha256",
+        "n_words",
+        F.sort_array(F.array_distinct(spans)).alias("spans"),
+        F.sort_array(F.array_distinct(items)).alias("items"),
+    )
+    types = found.schema
+    joined = lookup_join(docs.select("id", "text_sha256"), found, ["text_sha256"], _SALTS)
+    return joined.select(
+        "id",
+        "text_sha256",
+        F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
+        *[F.coalesce(c, F.array().cast(types[c].dataType)).alias(c) for c in ("spans", "items")],
     )
 
 

@@ -176,7 +176,9 @@ def slow_contamination(text, items):
     return len(words), sorted(hit), sorted(found)
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("bound", [dec.BROADCAST_BYTES, 0])
+def test_contamination(spark, monkeypatch, bound):
+    monkeypatch.setattr(dec, "BROADCAST_BYTES", bound)
     rng = random.Random(4)
     vocabulary = ["The", "of", "É", "x1", "and", "ß"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(9, 16)))) for i in range(6)]
@@ -201,11 +203,25 @@ def test_contamination(spark):
 
 
 def test_contamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(dec, "broadcast_if_small", lambda df, *_: df.hint("merge"))
-    df = docs(spark, [(i, f"{i} one two three") for i in range(50)])
-    bench = spark.createDataFrame([("a", "one two"), ("b", "7 one")], "item_id string, text string")
-    got = {r["doc_id"]: r["items"] for r in dec.contamination(df, bench).collect()}
-    assert got == {i: ["a", "b"] if i == 7 else ["a"] for i in range(50)}
+    monkeypatch.setattr(dec, "BROADCAST_BYTES", 0)
+    long = " ".join(f"w{i % 977}" for i in range(150_000)) + " one two"  # 150,002 words
+    df = docs(spark, [(i, f"{i} one two three") for i in range(50)] + [(60, long), (61, long)])
+    bench = spark.createDataFrame([("a", "one two"), ("b", "7 one"), ("c", "w5 w6 w7")], "item_id string, text string")
+    found = dec.contamination(df, bench).withColumn("n_hit", dec.covered_words(F.col("spans"))).collect()
+    got = {r["doc_id"]: (r["items"], r["n_words"], r["n_hit"]) for r in found}
+    want = {i: (["a", "b"], 4, 3) if i == 7 else (["a"], 4, 2) for i in range(50)}
+    hits = 3 * sum(1 for i in range(150_000) if i % 977 == 5 and i + 2 < 150_000) + 2
+    assert got == {**want, 60: (["a", "c"], 150_002, hits), 61: (["a", "c"], 150_002, hits)}
+
+
+def test_windows_of_one_code_are_told_apart(spark, monkeypatch):
+    """Both ways compare the words of a window, not only its code."""
+    monkeypatch.setattr(dec, "_codes", lambda words: F.transform(words, lambda w: F.lit(1)))
+    df = docs(spark, [(1, "one two"), (2, "two three"), (3, "four five"), (4, None)])
+    bench = spark.createDataFrame([("a", "one two"), ("b", "two three")], "item_id string, text string")
+    for bound in (dec.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(dec, "BROADCAST_BYTES", bound)
+        assert {r["doc_id"]: r["items"] for r in dec.contamination(df, bench).collect()} == {1: ["a"], 2: ["b"], 3: [], 4: []}
 
 
 # --- shards
