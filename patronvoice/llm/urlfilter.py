@@ -2,7 +2,8 @@
 
 A URL is the set of its host and path tokens. FP-growth over the labelled URLs
 finds the token combinations that go with blocked documents; combinations with
-enough support, confidence and lift become rules. They are matched through an
+enough support and confidence, and with more blocks than chance would give them,
+become rules. They are matched through an
 inverted index: each rule is filed under its rarest token, so that a URL only
 meets rules that share this token with it, and then must contain all the others.
 All of it runs in Spark's own functions and its FP-growth.
@@ -10,6 +11,7 @@ All of it runs in Spark's own functions and its FP-growth.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -28,9 +30,9 @@ RULES = (
     ("net/es/", BLOCK),
     ("net/fr/", BLOCK),
 )
-#: A mined rule's combination occurs with a block in this share of the labelled URLs, and in so many of them at least;
-#: among the URLs with the combination, this share is blocked, and this many times the share in all.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 20, 0.6, 1.5
+#: A mined rule's combination occurs with a block in so many labelled URLs at least, whatever their number; among the
+#: URLs with the combination this share is blocked, which lies so many standard deviations above the share in all.
+MIN_COUNT, MIN_CONFIDENCE, MIN_DEVIATIONS = 20, 0.6, 4.0
 _TARGET = "=block"
 _ROW_BYTES = 600  # of one rule in the index
 
@@ -71,15 +73,16 @@ def mine_rules(
     labelled: DataFrame,
     tokens_col: str = "tokens",
     blocked_col: str = "blocked",
-    min_support: float = MIN_SUPPORT,
     min_count: int = MIN_COUNT,
     min_confidence: float = MIN_CONFIDENCE,
-    min_lift: float = MIN_LIFT,
+    min_deviations: float = MIN_DEVIATIONS,
 ) -> DataFrame:
     """(tokens, confidence, support, lift) of the combinations that go with a block.
 
-    Rows with null tokens or a null label are left out. Fewer than ``min_count``
-    rows give no rule.
+    Of n URLs with a combination, a share p of all being blocked, chance blocks
+    np with a standard deviation of sqrt(np(1 - p)). Rows with null tokens or a
+    null label are left out. Fewer than ``min_count`` blocked rows give no rule,
+    and neither do labels that all say the same.
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col(tokens_col).isNotNull() & F.col(blocked_col).isNotNull())
@@ -87,14 +90,16 @@ def mine_rules(
         F.when(F.col(blocked_col), F.array_append(F.col(tokens_col), F.lit(_TARGET))).otherwise(F.col(tokens_col)).alias("items")
     )
     items = materialize(items)
-    n = items.count()
-    schema = "tokens array<string>, confidence double, support double, lift double"
-    support = max(min_support, min_count / n) if n else 2.0
-    if support > 1:
-        return spark.createDataFrame([], schema)
+    n, blocked = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", _TARGET))).first()
+    if blocked < max(min_count, 1):
+        return spark.createDataFrame([], "tokens array<string>, confidence double, support double, lift double")
     # a hair less, so that exactly min_count rows are enough whatever the division gives
-    model = FPGrowth(itemsCol="items", minSupport=support * (1 - 1e-9), minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.element_at("consequent", 1) == _TARGET) & (F.col("lift") >= min_lift))
+    model = FPGrowth(itemsCol="items", minSupport=min_count / n * (1 - 1e-9), minConfidence=min_confidence).fit(items)
+    base = blocked / n
+    having = F.round(F.col("support") * n / F.col("confidence"))  # URLs with the combination
+    above = (F.col("confidence") - base) * F.sqrt(having) >= min_deviations * math.sqrt(base * (1 - base))
+    rules = model.associationRules.where(F.element_at("consequent", 1) == _TARGET)
+    found = rules.where((F.col("confidence") > base) & above)
     return found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift")
 
 
@@ -172,11 +177,11 @@ s AS (
   FROM (SELECT page_id, path, tokens, unnest(range(1, 1 << len(tokens))) AS mask FROM t)),
 l AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS blocked FROM labels GROUP BY doc_id),
 x AS (SELECT s.part, s.page_id, l.blocked FROM s JOIN l ON l.doc_id = TRY_CAST(regexp_extract(s.path, '^/[a-z]+/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) WHERE l.blocked IS NOT NULL),
-n AS (SELECT count(*) AS n, avg(CAST(blocked AS INT)) AS base FROM t JOIN l ON l.doc_id = TRY_CAST(regexp_extract(t.path, '^/[a-z]+/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) WHERE l.blocked IS NOT NULL),
+n AS (SELECT avg(CAST(blocked AS INT)) AS base FROM t JOIN l ON l.doc_id = TRY_CAST(regexp_extract(t.path, '^/[a-z]+/([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) WHERE l.blocked IS NOT NULL),
 r AS (
-  SELECT part FROM x, n GROUP BY part, n.n, n.base
-  HAVING sum(CAST(blocked AS INT)) >= greatest({MIN_SUPPORT} * n.n, {MIN_COUNT}) - 1e-6
-    AND avg(CAST(blocked AS INT)) >= {MIN_CONFIDENCE} AND avg(CAST(blocked AS INT)) / n.base >= {MIN_LIFT}),
+  SELECT part FROM x, n GROUP BY part, n.base
+  HAVING sum(CAST(blocked AS INT)) >= {MIN_COUNT} AND avg(CAST(blocked AS INT)) >= {MIN_CONFIDENCE} AND avg(CAST(blocked AS INT)) > n.base
+    AND (avg(CAST(blocked AS INT)) - n.base) * sqrt(count(*)) >= {MIN_DEVIATIONS} * sqrt(n.base * (1 - n.base))),
 m AS (SELECT DISTINCT s.page_id FROM s JOIN r ON s.part = r.part),
 j AS (SELECT page_id, host, path, CASE {_SQL_FITS} END AS rule FROM p)
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(CASE j.rule {_SQL_VERDICT} END, CASE WHEN m.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict

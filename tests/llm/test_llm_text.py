@@ -155,6 +155,21 @@ def test_rules_are_mined_and_matched(spark):
     assert all((r["confidence"] is not None) == any(s <= tokens[r["page_id"]] for s in some) for r in got.collect())
 
 
+def test_rules_do_not_depend_on_how_many_urls_are_labelled(spark):
+    """A rare token that always goes with a block is a rule in a large table, and where most URLs are blocked."""
+    rng = random.Random(5)
+    for n, share in ((600, 0.1), (30_000, 0.1), (30_000, 0.8)):
+        rows = [(["h=org", f"p=t{rng.randrange(5)}"], rng.random() < share) for _ in range(n)]
+        rows += [(["h=org", "p=slots"], True)] * 80
+        labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+        rules = {tuple(r["tokens"]) for r in urlfilter.mine_rules(labelled).collect()}
+        assert rules == {("p=slots",), ("h=org", "p=slots")}
+        pages = spark.createDataFrame([(1, "http://org/slots"), (2, "http://org/t1"), (3, "http://net/es/t1")], "page_id bigint, url string")
+        assert {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(pages, labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+    same = spark.createDataFrame([(["h=org"], True)] * 50, "tokens array<string>, blocked boolean")
+    assert urlfilter.mine_rules(same).count() == 0
+
+
 # --- decontamination
 
 
