@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from patronvoice.functions import clean_review_text, has_min_tokens
 from patronvoice.operators import terms as terms_ops
+from patronvoice.operators.agglomerate import merge_by_average_link
 from patronvoice.operators.cluster import apply_merge, cluster_density, cluster_kmeans, merge_similar_topics
 from patronvoice.operators.joins import lookup_join
 from patronvoice.operators.latent import fit_latent
@@ -38,7 +39,9 @@ class TopicParams:
     min_samples: int = 5
     min_size: int = 15
     k: int = 8
-    merge_tau: float | None = 0.9  # None: topics are not merged
+    merge_tau: float | None = 0.9  # None: topics are not merged (average link: down to merge_count, or the widest gap)
+    merge_link: str = "single"  # or "average", over the topics' terms instead of their vectors
+    merge_count: int | None = None  # with average link, the number of topics wanted
     embedding: str = "latent"  # or "hashed", which is cheaper and wants 256 and more dimensions
     embed_dims: int = 64
     ngrams: tuple[int, int] = (1, 2)
@@ -124,7 +127,16 @@ def fit_topics(
         clusters = cluster_kmeans(reduced, "reduced", p.k, p.seed)
     else:
         clusters = cluster_density(reduced, id_col, "reduced", p.eps, p.min_samples, p.min_size)
-    if p.merge_tau is not None:
+    if p.merge_link == "average":
+        clusters = materialize(clusters)
+        texts = lookup_join(reviews.select(id_col, text_col), clusters.select(id_col, "topic_id"), [id_col])
+        counts = terms_ops.term_counts(not_noise(texts), text_col, "topic_id", p.ngrams, p.min_df, p.max_df, p.max_features, p.stop)
+        weights = terms_ops.class_tfidf(counts, "topic_id")
+        merged = merge_by_average_link(weights, "topic_id", p.merge_count, None if p.merge_count is not None else p.merge_tau)
+        clusters = apply_merge(clusters, merged, "topic_id")
+    elif p.merge_link != "single":
+        raise ValueError(f"merge_link must be single or average, not {p.merge_link!r}")
+    elif p.merge_tau is not None:
         merged = merge_similar_topics(clusters, "topic_id", "reduced", p.merge_tau)
         clusters = apply_merge(clusters, merged, "topic_id")
     clustered = materialize(lookup_join(reviews, clusters, [id_col]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patronvoice.operators import cluster, hierarchy, latent
+from patronvoice.operators import agglomerate, cluster, hierarchy, latent
 from patronvoice.operators import terms as terms_ops
 from patronvoice.operators import topics as topic_ops
 from patronvoice.operators import vectors
@@ -118,6 +118,13 @@ def _(t):
     return cluster.merge_similar_topics(t.read("embeddings").withColumnRenamed("label", "topic_id"), "topic_id", "embedding", tau=_TAU)
 
 
+@register("merge_by_average_link")
+def _(t):
+    docs = t.documents.withColumn("topic_id", F.crc32(F.concat_ws("/", "lang", "source").cast("binary")))
+    weights = terms_ops.class_tfidf(terms_ops.term_counts(docs, "text", "topic_id", (1, 1)), "topic_id")
+    return agglomerate.merge_by_average_link(weights, "topic_id")
+
+
 @register("rerank_keywords")
 def _(t):
     docs = materialize(vectors.embed_texts(t.documents.select("doc_id", "lang", "text"), "text", dims=64))

@@ -139,6 +139,18 @@ def test_given_vectors_and_merge(spark):
     assert set(assigned.columns) == {"review_id", "review_text", "v", "topic_id", "topic_label"}
 
 
+def test_topics_of_like_words_merge_by_average_link(spark):
+    """Three groups of vectors, two of which are written in the same words."""
+    words = ["cold soup food", "cold soup food", "late rider order"]
+    vectors = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(i, words[i % 3], [x + 0.001 * (i % 5) for x in vectors[i % 3]]) for i in range(90)]
+    df = spark.createDataFrame(rows, "review_id long, review_text string, v array<double>")
+    params = TopicParams(dims=2, eps=0.4, ngrams=(1, 1), merge_link="average", merge_count=2, rerank=False)
+    assigned, topics = fit_topics(df, params=params, vec_col="v")
+    assert sorted(r["frequency"] for r in topics.collect()) == [30, 60]
+    assert assigned.select("review_text", "topic_id").distinct().count() == 2
+
+
 def test_rerank_prefers_terms_close_to_the_topic(spark):
     rows = [(0, "late slow", [1.0, 0.0])] * 3 + [(0, "misc", [0.6, 0.8])] + [(1, "cold misc", [0.0, 1.0])] * 3
     docs = spark.createDataFrame(rows, "topic_id long, text string, vec array<double>")
