@@ -214,3 +214,20 @@ def test_reduction_keeps_the_spread(spark):
     want = unit @ vt[:2].T
     have = np.array([r["reduced"] for r in got.collect()])
     assert np.abs(have) == pytest.approx(np.abs(want), abs=1e-6)
+
+
+def test_points_are_placed_once_whatever_the_radius(spark, monkeypatch):
+    """A wide radius makes more blocks meet, not more or wider rows; nothing near is missed, copies count."""
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 40)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    x = np.random.default_rng(3).normal(0, 1, (300, 3))
+    rows = [(i, 1 + i % 3, [float(v) for v in p]) for i, p in enumerate(x)]
+    points = spark.createDataFrame(rows, "node long, n long, vec array<double>")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for eps in (0.3, 50.0):
+        placed = neighbours.blocks(points, eps)
+        assert placed.rows.count() == 300 and placed.sizes.max() <= 60
+        got = {r["node"]: r["count"] for r in neighbours.neighbour_counts(placed, eps).collect()}
+        want = (d <= eps) @ (1 + np.arange(300) % 3)
+        assert [got[i] for i in range(300)] == want.tolist()
+    assert not neighbours.blocks(points, 0.3).near.all()
