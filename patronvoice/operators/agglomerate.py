@@ -20,7 +20,7 @@ from patronvoice.operators.joins import lookup_join
 from patronvoice.session import materialize
 
 _TOPICS = 512  # topics in a block; pairs of blocks are compared
-_CELLS = 1 << 22  # weights of a pair of blocks that one task holds, about
+_CELLS = 1 << 18  # weights of a pair of blocks that one task holds with their terms, about
 _TERMS = 4096  # terms in a dense slice of a block
 
 

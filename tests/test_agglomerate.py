@@ -1,6 +1,9 @@
 """Average-link merging of topics against a brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from patronvoice.operators import agglomerate
 from patronvoice.operators.agglomerate import merge_by_average_link
@@ -67,3 +70,14 @@ def test_odd_tables(spark):
     assert merged(spark, [(1, "a", 1.0), (2, "a", 3.0), (3, "a", 2.0)], tau=0.9) == {1: 1, 2: 1, 3: 1}
     with pytest.raises(ValueError):
         merged(spark, rows, count=1, tau=0.5)
+
+
+def test_a_task_holds_little_whatever_the_vocabulary():
+    """A group of rows is as large as ``_CELLS`` says; with its terms as Python strings it must be a small part of an executor."""
+    n = agglomerate._CELLS
+    tracemalloc.start()
+    frame = pd.DataFrame({"node": np.arange(n) % 80, "term": [f"term number {i // 80}" for i in range(n)], "unit": 0.1, "side": np.arange(n) // 2 % 2, "p": 0, "q": 0, "chunk": 0})
+    agglomerate._blocks_to_dots(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
