@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from patronvoice.llm import epsilon, simhash, similar
 from patronvoice.llm.common import components
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 DOCS = "doc_id bigint, text string, id string, fp string, component_id string, k string"
@@ -246,3 +247,25 @@ def test_parity_bits_bound_the_difference():
             assert apart <= len(np.setxor1d(a, b))
     wide, half = similar.parity_bits(a, 16), similar.parity_bits(a, 8)
     assert (wide[:8] ^ wide[8:] == half).all()
+
+
+def test_a_pair_is_made_where_its_common_shingles_begin(spark, monkeypatch):
+    """Every pair that the shingles give is made, but not once for each shingle of a common run."""
+    rng = random.Random(31)
+    runs = [rng.sample(range(10_000 * i, 10_000 * i + 10_000), 60) for i in range(6)]
+    sets = [sorted(x for run in rng.sample(runs, 2) for x in run if rng.random() < 0.9) for _ in range(30)]
+    rows = [(code, node, len(found), at, node, *[0] * similar._WIDTH) for node, found in enumerate(sets) for at, code in enumerate(found)]
+    placed = spark.createDataFrame(rows, "code bigint, node bigint, n int, at int, component bigint, " + ", ".join(f"{b} bigint" for b in similar._BITS))
+    placed = placed.join(placed.groupBy("code").agg(F.count("*").alias("nodes")), "code")
+    fits = lambda a, b, i, j: min(len(a) - i, len(b) - j) >= 4 / 9 * (len(a) + len(b)) - 1e-9
+    place = [{code: at for at, code in enumerate(found)} for found in sets]
+    want = [
+        (x, y)
+        for x in range(len(sets))
+        for y in range(x + 1, len(sets))
+        for code in place[x].keys() & place[y].keys()
+        if fits(sets[x], sets[y], place[x][code], place[y][code])
+    ]
+    assert {tuple(r) for r in similar._met(placed, 0.8).collect()} == set(want)
+    monkeypatch.setattr(type(placed), "distinct", lambda df: df)
+    assert len(set(want)) <= similar._met(placed, 0.8).count() < len(want) / 5
