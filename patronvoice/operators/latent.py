@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ PASSES = 8
 SPAN, LEAST_SPAN = 4, 64
 #: The largest searched space, in bytes of its base.
 SPACE_BYTES = 512 << 20
-#: Entries of the table multiplied at once; bounds the memory of a task beside the term matrix.
-ENTRIES = 1 << 15
+#: Texts multiplied at once; bounds the memory of a task beside the term matrix.
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,10 @@ class LatentModel:
         @F.pandas_udf("array<double>")
         def project(buckets: pd.Series) -> pd.Series:
             idf, directions = shared.value
-            found = _times(_entries(buckets, idf), len(buckets), directions)
+            found = np.zeros((len(buckets), directions.shape[1]))
+            for at, words in enumerate(buckets):
+                some, tf = np.unique(words, return_counts=True)
+                found[at] = _weights(tf, idf[some]) @ directions[some]
             norms = np.linalg.norm(found, axis=1, keepdims=True)
             # what is left of a text outside all directions is rounding, not a direction
             return pd.Series(list(np.where(norms > 1e-9, found / np.maximum(norms, 1e-300), 0.0)), index=buckets.index)
@@ -68,8 +72,8 @@ def fit_latent(
     orthogonal to what was found before; the best directions in the space of all blocks
     are taken (block Lanczos with a Rayleigh-Ritz step). A'AX is summed row by row: every
     task multiplies its own rows and hands on one sum per word bucket it has seen, which
-    Spark adds up before and after the exchange. So a pass exchanges at most one block
-    per partition, whatever the number of texts, and no two texts ever meet. Tasks hold
+    Spark adds up before and after the exchange. There are as many tasks as cores, so a pass
+    exchanges at most one block per core, whatever the number of texts, and no two texts ever meet. Tasks hold
     one block, the driver the blocks of all passes: twice ``features x SPAN x dims`` doubles,
     64 directions at the least. This is fixed by the arguments and checked, it does not grow with the table.
 
@@ -82,7 +86,7 @@ def fit_latent(
         raise ValueError(f"{width * passes} probes need as many word buckets, not {features}")
     if features * width * passes * 8 > SPACE_BYTES:
         raise ValueError(f"a base of {features} x {width * passes} doubles is larger than {SPACE_BYTES} bytes")
-    rows = _spread(df.select(_buckets(F.col(text_col), features, stop).alias("buckets")))
+    rows = _spread(_counted(df.select(_buckets(F.col(text_col), features, stop).alias("buckets"))))
     idf = _idf(rows, features)
     space = np.zeros((features, 0))
     images = np.zeros((features, 0))
@@ -127,70 +131,69 @@ def _buckets(text: Column, features: int, stop: Sequence[str]) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(buckets, tf): the different buckets of each text in order, and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                words, ends = _flat(batch.column(0).slice(at, ROWS))
+                row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+                places, tf = np.unique(row << 32 | words, return_counts=True)
+                ends = pa.array(np.searchsorted(places, np.arange(len(ends)) << 32).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (places & 0xFFFFFFFF, tf)]
+                yield pa.RecordBatch.from_arrays(lists, names=["buckets", "tf"])
+
+    return rows.mapInArrow(run, "buckets array<int>, tf array<int>")
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each list begins and ends in them."""
+    ends = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(), ends - ends[0]
+
+
 def _idf(rows: DataFrame, features: int) -> np.ndarray:
     """ln((texts + 1) / (texts with the bucket + 1)), at most ``features`` numbers."""
-    seen = rows.select(F.explode(F.array_distinct("buckets")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    seen = rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     counts = seen.toArrow()
     idf = np.zeros(features)
     idf[counts["bucket"].to_numpy()] = np.log((rows.count() + 1) / (counts["n"].to_numpy() + 1))
     return idf
 
 
-def _entries(buckets: pd.Series, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bucket, weight) of the unit-length TF-IDF rows, in row order."""
-    sizes = buckets.map(len).to_numpy()
-    if not sizes.sum():
-        return np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"), np.zeros(0)
-    words = np.concatenate(buckets.to_numpy()).astype("int64")
-    places, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + words, return_counts=True)
-    row, bucket = np.divmod(places, len(idf))
-    weight = tf * idf[bucket]
-    norms = np.sqrt(np.bincount(row, weight * weight, len(sizes)))
-    return row, bucket, weight / np.where(norms > 0, norms, 1.0)[row]
-
-
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a sorted list and the sum of the values of each."""
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(values, first, axis=0)
-
-
-def _times(entries: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int, matrix: np.ndarray) -> np.ndarray:
-    """The rows times the matrix."""
-    row, bucket, weight = entries
-    out = np.zeros((rows, matrix.shape[1]))
-    for at in range(0, len(row), ENTRIES):
-        cut = slice(at, at + ENTRIES)
-        keys, sums = _sums(row[cut], matrix[bucket[cut]] * weight[cut, None])
-        out[keys] += sums
-    return out
+def _weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The unit-length TF-IDF weights of one text."""
+    weight = tf * idf
+    norm = np.sqrt(weight @ weight)
+    return weight / norm if norm > 0 else weight
 
 
 def _gram_times(rows: DataFrame, idf: np.ndarray, base: np.ndarray) -> np.ndarray:
     """A'A times the base, A being the TF-IDF rows of the table."""
-    shared = rows.sparkSession.sparkContext.broadcast((idf, base))
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((idf, base))
     names = [f"p{i}" for i in range(base.shape[1])]
 
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, probes = shared.value
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, probes = shared.value
         total = np.zeros_like(probes)
         seen = np.zeros(len(probes), dtype=bool)
-        for frame in frames:
-            entries = _entries(frame["buckets"], weights)
-            image = _times(entries, len(frame), probes)
-            order = np.argsort(entries[1], kind="stable")
-            row, bucket, weight = (part[order] for part in entries)
-            for at in range(0, len(row), ENTRIES):
-                cut = slice(at, at + ENTRIES)
-                keys, sums = _sums(bucket[cut], image[row[cut]] * weight[cut, None])
-                total[keys] += sums
-                seen[keys] = True
+        for batch in batches:
+            buckets, ends = _flat(batch.column(0))
+            tf, _ = _flat(batch.column(1))
+            seen[buckets] = True
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                some = buckets[start:end]
+                weight = _weights(tf[start:end], idf[some])
+                # the buckets of a text are different, so none is added to twice
+                total[some] += weight[:, None] * (weight @ probes[some])
         found = np.flatnonzero(seen)
         for at in range(0, len(found), 4096):
             some = found[at : at + 4096]
-            yield pd.DataFrame(total[some], columns=names).assign(bucket=some.astype("int32"))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, total[some].T), pa.array(some.astype(np.int32))], names=[*names, "bucket"])
 
-    sums = rows.mapInPandas(multiply, ", ".join(f"{n} double" for n in names) + ", bucket int")
+    sums = rows.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(multiply, ", ".join(f"{n} double" for n in names) + ", bucket int")
     added = sums.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     out = np.zeros_like(base)
     if added.num_rows:

@@ -92,3 +92,19 @@ def test_edges(spark, texts):
     for bad in ({"features": 8}, {"dims": 4096}):
         with pytest.raises(ValueError):
             latent.fit_latent(few, "text", **bad)
+
+
+def test_a_pass_has_as_many_tasks_as_cores(spark):
+    """Each task hands on a block of its own, so their number must not grow with the files of the table."""
+    cores = spark.sparkContext.defaultParallelism
+    files = 3 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.createDataFrame([([i % 16], [1]) for i in range(8 * files)], "buckets array<int>, tf array<int>").repartition(files)
+    spark.sparkContext.setJobGroup("a pass", "")
+    try:
+        got = latent._gram_times(rows, np.ones(16), np.eye(16)[:, :3])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(got[:3], np.eye(3) * (8 * files // 16)) and not got[3:].any()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("a pass") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in stages if s) < files
