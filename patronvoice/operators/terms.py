@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +16,10 @@ from patronvoice.functions.text import WORD
 from patronvoice.operators.joins import lookup_join
 
 
+#: Words of the texts whose terms are summed at once, beyond one text; bounds the memory of a task.
+WORDS = 1 << 20
+
+
 def stop_words(languages: Sequence[str] = ("english",)) -> list[str]:
     """Spark's own lists; needs a running session."""
     return sorted({w for lang in languages for w in StopWordsRemover.loadDefaultStopWords(lang)})
@@ -70,6 +77,36 @@ def explode_terms(
     )
 
 
+def _summed_terms(df: DataFrame, text_col: str, topic_col: str, ngrams: tuple[int, int], stop: Sequence[str]) -> DataFrame:
+    """(topic, term, tf, docs): occurrences and texts, summed within batches of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy()
+            ends, at = np.cumsum(sizes), 0
+            while at < len(batch):
+                start, to = at, max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + WORDS, "right")))
+                part, at = batch.slice(start, to - start), to
+                words = part.column(1).flatten()
+                text = np.repeat(np.arange(len(part)), sizes[start:to])
+                texts, terms = [], []
+                for n in range(ngrams[0], ngrams[1] + 1):
+                    count = max(0, len(words) - n + 1)
+                    whole = text[:count] == text[len(text) - count :]
+                    grams = pc.binary_join_element_wise(*[words.slice(i, count) for i in range(n)], " ") if n > 1 else words
+                    texts.append(text[:count][whole])
+                    terms.append(grams.filter(pa.array(whole)))
+                each = pa.table({"text": np.concatenate(texts), "term": pa.chunked_array(terms, pa.string())}).group_by(["text", "term"]).aggregate([([], "count_all")])
+                each = each.append_column("topic", part.column(0).take(each["text"].combine_chunks()))
+                found = each.group_by(["topic", "term"]).aggregate([("count_all", "sum"), ("count_all", "count")])
+                columns = [found[c] for c in ("topic", "term", "count_all_sum", "count_all_count")]
+                yield from pa.table(columns, names=[topic_col, "term", "tf", "_docs"]).to_batches()
+
+    words = df.select(topic_col, tokens(F.col(text_col), stop).alias("_words"))
+    topic = df.select(topic_col).schema[0].dataType.simpleString()
+    return words.mapInArrow(run, f"`{topic_col}` {topic}, term string, tf bigint, _docs bigint")
+
+
 def term_counts(
     df: DataFrame,
     text_col: str,
@@ -86,9 +123,9 @@ def term_counts(
     frequent term or a topic holding a third of the texts shuffles as sums.
     """
     counted = (
-        explode_terms(df, text_col, [topic_col], ngrams, stop)
+        _summed_terms(df, text_col, topic_col, ngrams, stop)
         .groupBy(topic_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sum("first").alias("_docs"))
+        .agg(F.sum("tf").alias("tf"), F.sum("_docs").alias("_docs"))
     )
     by_term = Window.partitionBy("term")  # one row per topic
     documents = df.agg(F.count(F.lit(1))).scalar()

@@ -212,3 +212,24 @@ def test_run_topics(spark, planted, tmp_path):
     entities, topics = run_topics(spark, str(tmp_path / "sentiment"), str(tmp_path / "out"), params)
     assert entities.count() == 90 and topics.count() == 3
     assert spark.read.json(str(tmp_path / "out/topic_report")).first()["n_topics"] == 3
+
+
+def test_terms_are_summed_before_rows_are_made(spark, monkeypatch):
+    """Also across batches, with null topics and texts; few rows leave a batch of many texts."""
+    rows = [(i % 3 or None, t) for i, t in enumerate(["aa bb aa bb", "bb", None, "aa bb cc", "", "cc aa bb aa", "bb"] * 30)]
+    df = spark.createDataFrame(rows, "topic int, text string").repartition(1)
+    want = {}
+    for topic, text in rows:
+        words = (text or "").split()
+        grams = words + [" ".join(p) for p in zip(words, words[1:])]
+        for g in grams:
+            tf, docs = want.get((topic, g), (0, 0))
+            want[topic, g] = tf + 1, docs
+        for g in set(grams):
+            want[topic, g] = want[topic, g][0], want[topic, g][1] + 1
+    docs = {t: sum(d for (_, g), (_, d) in want.items() if g == t) for _, t in want}
+    for words in (5, 1 << 20):
+        monkeypatch.setattr(terms_ops, "WORDS", words)
+        got = terms_ops.term_counts(df, "text", "topic", (1, 2), 40, 0.8)
+        assert {(r["topic"], r["term"]): r["tf"] for r in got.collect()} == {k: tf for k, (tf, _) in want.items() if 40 <= docs[k[1]] <= 0.8 * len(rows)}
+    assert terms_ops._summed_terms(df, "text", "topic", (1, 2), ()).count() == len(want)
