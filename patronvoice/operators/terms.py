@@ -123,7 +123,7 @@ def term_counts(
     frequent term or a topic holding a third of the texts shuffles as sums.
     """
     counted = (
-        _summed_terms(df, text_col, topic_col, ngrams, stop)
+        _summed_terms(df, text_col, topic_col, ngrams, stop).repartition("term")
         .groupBy(topic_col, "term")
         .agg(F.sum("tf").alias("tf"), F.sum("_docs").alias("_docs"))
     )
