@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from patronvoice.llm.common import components, hash_of, register, table
+from patronvoice.llm.common import components, fresh, hash_of, register, table
 from patronvoice.session import materialize
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
@@ -276,23 +276,29 @@ def near_duplicates(
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, **options) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id is the component's smallest.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates, null_ids: bool = False, **options) -> DataFrame:
+    """``docs`` with one row of each component of texts: the one with the smallest id.
 
-    Only ids travel until the rows to keep are known. Repeated rows of that id
-    count once. ``find`` gives each row its component. Rows whose id is null stay, each with its text, as nothing tells
-    which of them another one stands for.
+    ``find`` gives each row its component. Rows are told apart by a hash of id and
+    text, so that texts of one id are compared like any other and none is lost with
+    it; rows equal in both count once. Rows whose id is null stay, each with its
+    text; with ``null_ids`` they take part, behind all ids, and one is kept of a
+    component that has no id. Only hashes and ids travel until the rows to keep are known.
     """
-    found = find(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    rows = docs.join(kept, id_col, "left_semi").select(docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = materialize(rows.select(id_col).groupBy(id_col).count().where("count > 1").select(id_col))
+    key = fresh("_key", docs)
+    rows = docs if null_ids else docs.where(F.col(id_col).isNotNull())
+    rows = rows.withColumn(key, F.xxhash64(id_col, text_col))
+    ids = rows.groupBy(key).agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n"))
+    placed = find(rows, key, text_col, **options).select(key, "component_id").distinct().join(ids, key)
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", key, "n")).alias("best")
+    kept = materialize(placed.groupBy("component_id").agg(best).select(f"best.{key}", "best.n"))
+    out = rows.join(kept.where("n = 1").select(key), key, "left_semi").select(docs.columns)
+    repeated = kept.where("n > 1").select(key)
     if not repeated.isEmpty():
-        again = rows.join(repeated, id_col, "left_semi").select(docs.columns)
-        once = again.groupBy(id_col).agg(F.min_by(whole, hash_of(docs.schema.fields)).alias("row")).select("row.*")
-        rows = rows.join(repeated, id_col, "left_anti").select(docs.columns).union(once)
-    return rows.union(docs.where(F.col(id_col).isNull()))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        again = rows.join(repeated, key, "left_semi")
+        out = out.union(again.groupBy(key).agg(F.min_by(whole, hash_of(docs.schema.fields)).alias("row")).select("row.*"))
+    return out if null_ids else out.union(docs.where(F.col(id_col).isNull()))
 
 
 @register("op9_simhash_pigeonhole")

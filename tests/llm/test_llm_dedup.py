@@ -129,6 +129,19 @@ def test_near_duplicates_rows(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_texts_without_an_id_of_their_own_are_compared(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(4, a), (4, b), (2, a), (4, a), (None, a), (None, c), (None, c + " end"), (None, c), (None, None), (6, ""), (7, b + " end"), (4, b)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z", "k") for i, t in rows], DOCS).repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    found = {(r["doc_id"], (r["text"] or "")[:1]) for r in kept.collect()}
+    assert found == {(2, "a"), (4, "b"), (None, "c"), (6, "")} and kept.count() == 4
+    # a text is not lost with the id that it shares
+    kept = simhash.keep_one(df.where("doc_id <= 4")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, a), (4, b)]
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, node string, n string"
 
 
