@@ -231,3 +231,41 @@ def test_points_are_placed_once_whatever_the_radius(spark, monkeypatch):
         want = (d <= eps) @ (1 + np.arange(300) % 3)
         assert [got[i] for i in range(300)] == want.tolist()
     assert not neighbours.blocks(points, 0.3).near.all()
+
+
+@pytest.mark.parametrize("dims,spread,eps", [(2, 0.3, 0.2), (3, 0.3, 0.35), (5, 0.2, 0.6)])
+def test_dense_points_are_linked_by_cell(spark, monkeypatch, dims, spread, eps):
+    """Cells of a grid are compared in place of points, and not again once they hang together; rows are those of brute force."""
+    rng = np.random.default_rng(dims)
+    centres = rng.uniform(0, 3, (4, dims))
+    x = np.concatenate([c + rng.normal(0, spread, (150, dims)) for c in centres] + [centres[0] + rng.normal(0, spread / 9, (600, dims)), rng.uniform(-1, 4, (60, dims))])
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 100)
+    monkeypatch.setattr(neighbours, "BLOCK", 60)
+    want = _exact(x, eps, 5)
+    for dense in (0, neighbours.DENSE):  # 0: cells in every task, however few points they hold
+        monkeypatch.setattr(neighbours, "DENSE", dense)
+        got = density_components(_points(spark, x), "id", "vec", eps, 5).collect()
+        assert [(-1 if r["component"] is None else r["component"]) for r in sorted(got)] == want.tolist()
+
+
+def test_dense_points_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0, 1, (8_000, 2))
+    points = spark.createDataFrame([(i, 1, [float(v) for v in p]) for i, p in enumerate(x)], "node long, n long, vec array<double>")
+    count, whole = spark.sparkContext.accumulator(0), neighbours.within
+
+    def within(a, b, eps):
+        count.add(len(a) * len(b))
+        return whole(a, b, eps)
+
+    monkeypatch.setattr(neighbours, "within", within)
+    got = density_components(points.withColumnRenamed("node", "id"), "id", "vec", 0.2, 5)
+    assert got.where("component = 0").count() == len(x) and 0 < count.value < len(x) ** 2 / 8
+
+
+def test_a_grid_cell_may_lie_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 60)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    x = np.array([0.3, 0.3]) + np.random.default_rng(2).uniform(0, 0.01, (600, 2))
+    got = density_components(_points(spark, x), "id", "vec", 1.0, 5)
+    assert {r["component"] for r in got.collect()} == {0}
