@@ -149,7 +149,8 @@ def topic_table(
 ) -> DataFrame:
     """Keywords, labels and frequencies of texts whose topic is known."""
     p = _with_stop_words(params)
-    counts = terms_ops.term_counts(docs, text_col, topic_col, p.ngrams, p.min_df, p.max_df, p.max_features, p.stop)
+    # the weights read the counts three times
+    counts = materialize(terms_ops.term_counts(docs, text_col, topic_col, p.ngrams, p.min_df, p.max_df, p.max_features, p.stop))
     weights = terms_ops.class_tfidf(counts, topic_col)
     if p.rerank and vec_col:
         candidates = terms_ops.top_terms(weights, topic_col, p.candidates)
@@ -174,7 +175,8 @@ def complaint_topics(
     texts = negative_entity_reviews(entities, key=key, list_col=list_col)
     if scored_reviews is not None:
         texts = lookup_join(texts, scored_reviews.select(key, "review_pos", "sentiment"), [key, "review_pos"])
-    texts = texts.withColumn("review_id", F.concat_ws("#", F.col(key), F.col("review_pos")))
+    # every step reads the texts again
+    texts = materialize(texts.withColumn("review_id", F.concat_ws("#", F.col(key), F.col("review_pos"))))
     review_topics, topics = fit_topics(texts, params=params)
     return map_topics_to_entities(entities, review_topics, key), review_topics, topics
 
